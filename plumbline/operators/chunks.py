@@ -148,9 +148,9 @@ def repeated_boilerplate(t: DataFrame, policy: ChunkPolicy) -> DataFrame:
     """
     v = valid_texts(t)
     lines = v.select("chunk_index", "document_id", "chunk_key", F.explode(T.boundary_lines(F.col("text"), policy.boilerplate_min_chars)).alias("line"))
-    valid = v.agg(F.count("*").alias("valid"))
-    need = F.greatest(F.lit(policy.boilerplate_min_chunks), F.ceil(F.lit(float(policy.boilerplate_ratio)) * F.col("valid")))
-    often = lines.groupBy("line").agg(F.count("*").alias("n")).join(F.broadcast(valid)).where(F.col("n") >= need).select("line", "n")
+    valid = v.agg(F.count("*")).scalar()
+    need = F.greatest(F.lit(policy.boilerplate_min_chunks), F.ceil(F.lit(float(policy.boilerplate_ratio)) * valid))
+    often = lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= need)
     text = F.concat(F.lit("A boundary line repeats in "), F.col("n").cast("string"), F.lit(" chunks."))
     hit = lines.join(broadcast_if_small(often), "line")
     return emit(hit, [finding("repeated_boilerplate", message=text, document_id=F.col("document_id"), chunk_index=F.col("chunk_index"), chunk_key=F.col("chunk_key"))])
@@ -162,12 +162,12 @@ def low_distinctiveness(t: DataFrame, policy: ChunkPolicy) -> DataFrame:
     Only the frequent terms are sent out: there are at most (terms per chunk) / fraction of them.
     """
     v = valid_texts(t).select("chunk_index", "document_id", "chunk_key", T.terms(F.col("text")).alias("terms"))
-    n = v.agg(F.count("*").alias("n"))
+    n = v.agg(F.count("*")).scalar()
     each = v.select("chunk_index", F.explode("terms").alias("term"))
-    often = each.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).where(F.col("df") / F.col("n") >= policy.distinctive_term_fraction).select("term", F.lit(True).alias("often"))
+    often = each.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") / n >= policy.distinctive_term_fraction).select("term")
     rare = each.join(broadcast_if_small(often), "term", "left_anti").select("chunk_index").distinct()
     at = dict(document_id=F.col("document_id"), chunk_index=F.col("chunk_index"), chunk_key=F.col("chunk_key"))
-    hit = v.where(F.size("terms") >= 3).join(rare, "chunk_index", "left_anti").join(F.broadcast(n)).where(F.col("n") >= policy.lexical_min_chunks)
+    hit = v.where(F.size("terms") >= 3).where(n >= policy.lexical_min_chunks).join(rare, "chunk_index", "left_anti")
     return emit(hit, [finding("low_distinctiveness", message="All terms occur in a high fraction of this batch.", **at)])
 
 

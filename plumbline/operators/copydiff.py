@@ -137,28 +137,29 @@ def diff_copies(
     seen = cells.agg(F.bit_or("mask")).first()[0] or 0  # one number: the columns to read at all
     used = [f for i, f in enumerate(fields) if seen >> i & 1]
 
-    key = [F.col(f"`{k}`") for k in keys]
+    key = [F.col(f"k{i}") for i in range(len(keys))]
     bit = {f.name: 1 << i for i, f in enumerate(fields)}
     again = entries.select(
-        *key, "side", F.col(f"`{order}`").alias("_o"), F.pmod(fingerprint(*key), F.lit(buckets)).alias("bucket"),
-        *[F.struct(f.print().alias("p"), f.value().alias("v")).alias(f"_f{i}") for i, f in enumerate(used)],
+        *[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], "side", F.col(f"`{order}`").alias("o"),
+        F.pmod(fingerprint(*[F.col(f"`{k}`") for k in keys]), F.lit(buckets)).alias("bucket"),
+        *[F.struct(f.print().alias("p"), f.value().alias("v")).alias(f"f{i}") for i, f in enumerate(used)],
     ).join(broadcast_if_small(cells), "bucket")
     again = again.select(
         *key, "side",
         *[
-            F.when(F.col("mask").bitwiseAND(F.lit(bit[f.name])) != 0, F.struct(F.col("_o").alias("o"), F.col(f"_f{i}.p").alias("p"), F.col(f"_f{i}.v").alias("v"))).alias(f"_f{i}")
+            F.when(F.col("mask").bitwiseAND(F.lit(bit[f.name])) != 0, F.struct("o", F.col(f"f{i}.p").alias("p"), F.col(f"f{i}.v").alias("v"))).alias(f"f{i}")
             for i, f in enumerate(used)
         ],
     )
     sides = {"e": EXPECTED, "o": OBSERVED}
     both = again.groupBy(*key).agg(
-        *[F.max(F.when(F.col("side") == v, True)).alias(f"_has_{s}") for s, v in sides.items()],
-        *[F.max(F.when(F.col("side") == v, F.col(f"_f{i}"))).alias(f"_{s}{i}") for s, v in sides.items() for i in range(len(used))],
+        *[F.max(F.when(F.col("side") == v, True)).alias(f"has_{s}") for s, v in sides.items()],
+        *[F.max(F.when(F.col("side") == v, F.col(f"f{i}"))).alias(f"{s}{i}") for s, v in sides.items() for i in range(len(used))],
     )
-    found = F.when(F.col("_has_o").isNull(), F.array(F.lit("missing_observed"))).when(F.col("_has_e").isNull(), F.array(F.lit("missing_expected")))
+    found = F.when(F.col("has_o").isNull(), F.array(F.lit("missing_observed"))).when(F.col("has_e").isNull(), F.array(F.lit("missing_expected")))
     named = [
-        F.when((F.col(f"_e{i}").isNotNull() | F.col(f"_o{i}").isNotNull()) & f.differs(F.col(f"_e{i}.v"), F.col(f"_o{i}.v")), F.lit(f.name))
+        F.when((F.col(f"e{i}").isNotNull() | F.col(f"o{i}").isNotNull()) & f.differs(F.col(f"e{i}.v"), F.col(f"o{i}.v")), F.lit(f.name))
         for i, f in enumerate(used)
     ]
     found = found.otherwise(F.array_compact(F.array(*named)) if named else F.array().cast("array<string>"))
-    return both.select(*key, F.explode(found).alias("field_name"))
+    return both.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.explode(found).alias("field_name"))

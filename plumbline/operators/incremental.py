@@ -108,7 +108,7 @@ class EmbeddingIncrement:
         upper = spark.read.schema(MARKS).parquet(f"{folder}/marks")
         bounds = upper.withColumnRenamed("sequence", "_to").join(old.withColumnRenamed("sequence", "_from"), "namespace", "left")
         todo = (
-            commits.join(bounds, "namespace")
+            commits.select("namespace", "base_revision", "revision", "sequence").join(bounds, "namespace")
             .where("sequence <= _to and (_from is null or sequence > _from)")
             .groupBy("namespace", "base_revision", "revision").agg(F.min("sequence").alias("sequence"))
         )

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.hashing import WHITE
 from plumbline.session import broadcast_if_small, cut
 
 MATCH = ("simple", "full", "partial")
@@ -62,9 +63,10 @@ def orphans_in_time(refs: DataFrame, inventory: DataFrame, snapshots: DataFrame)
     line = snapshots.groupBy("namespace").agg(F.array_sort(F.collect_list(F.struct("delivered_at", "snapshot_no"))).alias("line"))
     last = F.array_max(F.filter("line", lambda s: s.delivered_at <= F.col("ref_time")))
     timed = (
-        refs.where(F.col("ref_time").isNotNull() & F.col("ref_value").rlike(r"[^\s\p{Z}\x{85}\x1C-\x1F]"))
+        refs.drop("ref_status").select("namespace", "ref_value", "ref_time", F.struct("*").alias("ref"))
+        .where(F.col("ref_time").isNotNull() & (F.btrim("ref_value", F.lit(WHITE)) != ""))
         .join(broadcast_if_small(line), "namespace", "left")
-        .withColumn("at", last).drop("line")
+        .select("namespace", "ref_value", "ref", last.alias("at"))
         .withColumns({"snapshot_no": F.col("at.snapshot_no"), "at": F.col("at.delivered_at")})
     )
     keys = ["namespace", "ref_value", "snapshot_no"]
@@ -74,9 +76,8 @@ def orphans_in_time(refs: DataFrame, inventory: DataFrame, snapshots: DataFrame)
     gone = cut(orphan_keys(timed, held, keys, match="full"))
     values = gone.select("namespace", "ref_value").distinct()
     first = held.join(broadcast_if_small(values), ["namespace", "ref_value"], "left_semi").groupBy("namespace", "ref_value").agg(F.min("delivered_at").alias("first"))
-    status = F.when(F.col("first").isNull(), "missing").when(F.col("first") < F.col("at"), "deleted").otherwise("late")
-    gone = gone.join(first, ["namespace", "ref_value"], "left").select("namespace", "ref_value", F.col("snapshot_no").alias("_no"), "first")
-    gone = gone.withColumnsRenamed({"namespace": "_ns", "ref_value": "_value"})
+    gone = gone.join(first, ["namespace", "ref_value"], "left")
+    gone = gone.select(F.col("namespace").alias("_ns"), F.col("ref_value").alias("_value"), F.col("snapshot_no").alias("_no"), "first")
     same = (F.col("namespace") == F.col("_ns")) & (F.col("ref_value") == F.col("_value")) & F.col("snapshot_no").eqNullSafe(F.col("_no"))
-    found = timed.join(broadcast_if_small(gone), same)
-    return found.withColumn("ref_status", status).drop("_ns", "_value", "_no", "first", "at", "snapshot_no")
+    status = F.when(F.col("first").isNull(), "missing").when(F.col("first") < F.col("at"), "deleted").otherwise("late")
+    return timed.join(broadcast_if_small(gone), same).select("ref.*", status.alias("ref_status"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,10 @@ from plumbline.functions import vectors as V
 from plumbline.session import broadcast_if_small
 
 
+#: Queries that are sent out at once.
+QUERY_BLOCK = 10_000
+
+
 def audit_embeddings(
     expected: DataFrame, embeddings: DataFrame, dimensions: int, detect_duplicates: bool = True,
     norm_range: tuple[float, float] | None = None,
@@ -71,17 +77,23 @@ def audit_provenance(targets: DataFrame, embeddings: DataFrame, model: str, pipe
 def nearest(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     """(query_id, id, distance, place): the k nearest of base (id, vector) by squared L2, ties by id.
 
-    Exact: a stated query set against all rows. The queries (query_id, vector) are what is replicated,
-    so they should be few; each task ranks its own rows before the shuffle (a partial limit), which
-    moves k rows per query and task. Vectors of unequal length are not compared.
+    Exact: a stated query set against all rows. The queries (query_id, vector) are sent out in blocks of
+    a bounded number, each a pass over base; every task ranks its own rows before the shuffle (a
+    partial limit), which moves k rows per query and task. Vectors of unequal length aren't compared,
+    nor are null ones.
     """
     if type(k) is not int or k < 1:
         raise ValueError("k must be a positive integer")
     q = queries.select("query_id", V.doubles(F.col("vector")).alias("q"))
     b = base.select("id", V.doubles(F.col("vector")).alias("v"))
-    d = b.join(broadcast_if_small(q, 10_000), F.size("q") == F.size("v")).select("query_id", "id", V.squared_l2(F.col("q"), F.col("v")).alias("distance"))
+    blocks = 1 + q.count() // QUERY_BLOCK
+    parts = []
+    for i in range(blocks):
+        block = F.broadcast(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))
+        parts.append(b.join(block, F.size("q") == F.size("v")).select("query_id", "id", V.squared_l2(F.col("q"), F.col("v")).alias("distance")))
     place = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
-    return d.withColumn("place", place).where(F.col("place") <= k)
+    ranked = [p.withColumn("place", place).where(F.col("place") <= k) for p in parts]
+    return reduce(lambda x, y: x.unionByName(y), ranked)
 
 
 def payload_mismatches(expected: DataFrame, stored: DataFrame) -> DataFrame:
