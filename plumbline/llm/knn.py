@@ -133,7 +133,7 @@ def _candidates(reps: DataFrame, h: Hasher, k: int) -> DataFrame:
         return _pairs(visits.join(base.withColumnRenamed("vid", "other"), "key"))
     hot = broadcast_if_small(crowded.select("key"))
     light = visits.join(hot, "key", "left_anti").join(base.join(hot, "key", "left_anti").withColumnRenamed("vid", "other"), "key")
-    return _pairs(light.unionByName(_crowded(reps, base, visits, crowded, k), allowMissingColumns=True))
+    return _pairs(light.select("vid", "other").unionByName(_crowded(reps, base, visits, crowded, k)))
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -150,7 +150,8 @@ def _crowded(reps: DataFrame, base: DataFrame, visits: DataFrame, crowded: DataF
 
     def blocks(rows: DataFrame, own: str, across: str, mine: str, others: str, side: int) -> DataFrame:
         rows = rows.join(sizes, "key").withColumn(mine, F.pmod(F.xxhash64("vid"), F.col(own)))
-        return rows.withColumn(others, F.explode(F.sequence(F.lit(0), F.col(across) - 1)).cast("long")).select("key", "bi", "bj", "vid", F.lit(side).alias("side"))
+        last = F.col(across).cast("long") - 1
+        return rows.withColumn(others, F.explode(F.sequence(F.lit(0).cast("long"), last))).select("key", "bi", "bj", "vid", F.lit(side).alias("side"))
 
     members = base.join(broadcast_if_small(crowded.select("key")), "key", "left_semi")
     both = blocks(members, "nb", "nv", "bi", "bj", 0).unionByName(blocks(visitors, "nv", "nb", "bj", "bi", 1))
