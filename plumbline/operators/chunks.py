@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.findings import emit, finding, union
 from plumbline.functions import text as T
-from plumbline.session import broadcast_if_small
+from plumbline.session import small
 
 #: What a chunk table may have besides chunk_index and text; absent columns count as null.
 OPTIONAL = {
@@ -135,7 +135,7 @@ def duplicate_texts(t: DataFrame) -> DataFrame:
     """
     d = valid_texts(t).select("chunk_index", "document_id", "chunk_key", F.unhex(F.sha2(T.normalized(F.col("text")), 256)).alias("d"))
     first = d.groupBy("d").agg(F.min("chunk_index").alias("first"), F.count("*").alias("n")).where("n > 1").select("d", "first")
-    hit = d.join(broadcast_if_small(first), "d").where("chunk_index <> first")
+    hit = d.join(small(first), "d").where("chunk_index <> first")
     text = F.concat(F.lit("Text duplicates chunk "), F.col("first").cast("string"), F.lit(" after white space normalization."))
     return emit(hit, [finding("duplicate_text", message=text, document_id=F.col("document_id"), chunk_index=F.col("chunk_index"), chunk_key=F.col("chunk_key"), related=F.array("first"))])
 
@@ -152,7 +152,7 @@ def repeated_boilerplate(t: DataFrame, policy: ChunkPolicy) -> DataFrame:
     need = F.greatest(F.lit(policy.boilerplate_min_chunks), F.ceil(F.lit(float(policy.boilerplate_ratio)) * valid))
     often = lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= need)
     text = F.concat(F.lit("A boundary line repeats in "), F.col("n").cast("string"), F.lit(" chunks."))
-    hit = lines.join(broadcast_if_small(often), "line")
+    hit = lines.join(small(often), "line")
     return emit(hit, [finding("repeated_boilerplate", message=text, document_id=F.col("document_id"), chunk_index=F.col("chunk_index"), chunk_key=F.col("chunk_key"))])
 
 
@@ -165,7 +165,7 @@ def low_distinctiveness(t: DataFrame, policy: ChunkPolicy) -> DataFrame:
     n = v.agg(F.count("*")).scalar()
     each = v.select("chunk_index", F.explode("terms").alias("term"))
     often = each.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") / n >= policy.distinctive_term_fraction).select("term")
-    rare = each.join(broadcast_if_small(often), "term", "left_anti").select("chunk_index").distinct()
+    rare = each.join(small(often), "term", "left_anti").select("chunk_index").distinct()
     at = dict(document_id=F.col("document_id"), chunk_index=F.col("chunk_index"), chunk_key=F.col("chunk_key"))
     hit = v.where(F.size("terms") >= 3).where(n >= policy.lexical_min_chunks).join(rare, "chunk_index", "left_anti")
     return emit(hit, [finding("low_distinctiveness", message="All terms occur in a high fraction of this batch.", **at)])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.findings import emit, finding, union
 from plumbline.functions import text as T
 from plumbline.functions.units import suffix
-from plumbline.session import broadcast_if_small
+from plumbline.session import small
 
 SUPPORTED = (".txt", ".md", ".rst", ".pdf")
 
@@ -26,7 +26,7 @@ def repeated_records(records: DataFrame) -> DataFrame:
     """Findings for records whose id an earlier line has: duplicate if the payload is the first one's, else conflicting."""
     r = records.where("error is null").select("line", "id", F.sha2("payload", 256).alias("d"))
     first = r.groupBy("id").agg(F.min(F.struct("line", "d")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
-    hit = r.join(broadcast_if_small(first), "id").where("line <> f.line")
+    hit = r.join(small(first), "id").where("line <> f.line")
     code = F.when(F.col("d") == F.col("f.d"), "duplicate_index_record").otherwise("conflicting_index_record")
     return emit(hit, [finding(code, chunk_index=F.col("line"))])
 
@@ -41,7 +41,7 @@ def conflicting_versions(records: DataFrame) -> DataFrame:
 def line_findings(records: DataFrame, sources: DataFrame) -> DataFrame:
     """Findings of single records. sources: source, hash."""
     known = sources.select("source", F.col("hash").alias("own"))
-    r = records.join(broadcast_if_small(known), "source", "left")
+    r = records.join(small(known), "source", "left")
     at = dict(chunk_index=F.col("line"))
     return emit(
         r,

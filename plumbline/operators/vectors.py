@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.findings import emit, finding, union
 from plumbline.functions import vectors as V
-from plumbline.session import broadcast_if_small
+from plumbline.session import small
 
 
 #: Queries that are sent out at once.
@@ -51,7 +51,7 @@ def audit_embeddings(
 
     known = e.where("known")
     first = known.groupBy("chunk_id").agg(F.min("chunk_index").alias("first"), F.count("*").alias("n"))
-    again = known.select("chunk_index", "chunk_id").join(broadcast_if_small(first.where("n > 1").drop("n")), "chunk_id").where("chunk_index <> first")
+    again = known.select("chunk_index", "chunk_id").join(small(first.where("n > 1").drop("n")), "chunk_id").where("chunk_index <> first")
     parts.append(emit(again, [finding("duplicate_embedding", message="More than one embedding for a chunk id.", **at)]))
     missing = ids.join(known.select("chunk_id"), "chunk_id", "left_anti")
     parts.append(emit(missing, [finding("missing_embedding", message=F.concat(F.lit("No vector for chunk id "), F.col("chunk_id")))]))
@@ -60,7 +60,7 @@ def audit_embeddings(
         originals = known.where(good & (n == dimensions)).join(again.select("chunk_index"), "chunk_index", "left_anti")
         d = originals.select("chunk_index", "chunk_id", F.xxhash64(F.lit(3), "v").alias("d1"), F.xxhash64(F.lit(5), "v").alias("d2"))
         head = d.groupBy("d1", "d2").agg(F.min(F.struct("chunk_index", "chunk_id")).alias("h"), F.count("*").alias("n")).where("n > 1").drop("n")
-        twin = d.join(broadcast_if_small(head), ["d1", "d2"]).where("chunk_index <> h.chunk_index")
+        twin = d.join(small(head), ["d1", "d2"]).where("chunk_index <> h.chunk_index")
         text = F.concat(F.lit("Vector matches that of chunk id "), F.col("h.chunk_id"))
         parts.append(emit(twin, [finding("duplicate_vector", message=text, **at)]))
     return union(parts)

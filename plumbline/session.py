@@ -46,3 +46,8 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     adaptive execution splits skewed partitions. Callers pass a df that is cut or cheap to compute.
     """
     return F.broadcast(df) if df.select(F.lit(1)).limit(rows + 1).count() <= rows else df
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A side that is expected to be small: computed once, then broadcast if it is (see broadcast_if_small)."""
+    return broadcast_if_small(cut(df), rows)
