@@ -10,6 +10,7 @@ import json
 import sys
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from plumbline.operators.chunks import ChunkPolicy, audit_chunks
@@ -137,7 +138,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("plumbline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
         return run(args, spark)
-    except (OSError, ValueError, KeyError) as e:
+    except (OSError, ValueError, KeyError, AnalysisException) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
 

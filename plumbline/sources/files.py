@@ -206,7 +206,7 @@ def unit_chunks(units: DataFrame, words_per_chunk: int = 400, overlap: int = 40)
     parts = units.where(~blank(F.col("text"))).select("source", "source_version", "unit", F.posexplode(split_words(F.col("text"), words_per_chunk, overlap)).alias("part", "text"))
     rows = parts.select(
         F.xxhash64("source", "unit", "part").alias("h"), F.col("source").alias("document_id"), "source_version", "source", "part",
-        F.array("unit").alias("units"), "text",
+        F.array("unit").alias("units"), "text", F.create_map(F.lit("source"), "source").alias("metadata"),
     )
     # Keys are ordinals within a unit; the index only has to order a unit's chunks and be unique.
     keyed = assign_chunk_keys(rows.withColumn("chunk_index", F.col("part").cast("bigint"))).drop("chunk_index")
