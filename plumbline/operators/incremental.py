@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import pack_hash
-from plumbline.session import broadcast_if_small
+from plumbline.session import broadcast_if_small, cut
 
 STATE = "namespace string, chunk_id string, hash binary"
 MARKS = "namespace string, sequence int"
@@ -117,24 +117,23 @@ class EmbeddingIncrement:
         return number
 
     def _replay(self, todo: DataFrame, plans: DataFrame, chunk_states: DataFrame, document_states: DataFrame, state: DataFrame) -> DataFrame:
-        snapshots = document_states.select("namespace", "snapshot_no", "revision").distinct()
-        ok = plans.select("namespace", "base_revision", "revision", "created_at", "plan_id", "embed_ids")
-        ok = ok.join(todo, ["namespace", "base_revision", "revision"]).join(snapshots, ["namespace", "revision"])
-        line = W.partitionBy("namespace").orderBy("sequence", "created_at", "plan_id")  # one row per run
-        steps = (
-            ok.groupBy("namespace", "sequence", "created_at", "plan_id", "revision", "snapshot_no").agg(F.lit(True).alias("_"))
-            .select("namespace", "revision", "snapshot_no", "sequence", "created_at", "plan_id", F.row_number().over(line).alias("step"))
-        )
+        # Runs and snapshots are few; each list is made once, however many chunks they have.
+        snapshots = cut(document_states.select("namespace", "snapshot_no", "revision").distinct())
+        key = ["namespace", "base_revision", "revision", "created_at", "plan_id"]
+        ok = plans.select(*key).distinct().join(todo, key[:3]).join(snapshots, ["namespace", "revision"])
+        line = W.partitionBy("namespace").orderBy("sequence", "created_at", "plan_id")
+        steps = cut(ok.withColumn("step", F.row_number().over(line)))
         newest = snapshots.groupBy("namespace").agg(F.max(F.struct("snapshot_no", "revision")).alias("n"))
         count = steps.groupBy("namespace").agg(F.max("step").alias("steps"))
         ends = newest.join(count, "namespace", "left").select("namespace", F.col("n.revision").alias("revision"), F.col("n.snapshot_no").alias("snapshot_no"), (F.coalesce("steps", F.lit(0)) + 1).alias("step"))
         # Each snapshot that matters, with the step that looks at it; the step after the last one is
         # the look at the newest snapshot.
         looks = steps.select("namespace", "revision", "snapshot_no", "step", F.lit(False).alias("end")).unionByName(ends.withColumn("end", F.lit(True)))
+        looks = cut(looks)
 
         held = chunk_states.select("namespace", "snapshot_no", "chunk_id", "loaded_at", pack_hash(F.col("embedding_hash")).alias("hash"))
         held = held.join(broadcast_if_small(looks), ["namespace", "snapshot_no"])
-        asked = ok.join(broadcast_if_small(steps.select("namespace", "sequence", "created_at", "plan_id", "step")), ["namespace", "sequence", "created_at", "plan_id"])
+        asked = plans.select(*key, "embed_ids").join(broadcast_if_small(steps.select(*key, "step")), key)
         asked = asked.select("namespace", "step", F.explode("embed_ids").alias("chunk_id")).where("chunk_id is not null")
         nothing = F.lit(None)
         parts = (
@@ -157,7 +156,7 @@ class EmbeddingIncrement:
         seen = seen.withColumns({"had": F.last(own, ignorenulls=True).over(island), "own": own})
         same = F.col("had").isNotNull() & F.col("had.hash").eqNullSafe(F.col("hash"))
         after = F.coalesce("own", "had")
-        steps_of = broadcast_if_small(ends.select("namespace", (F.col("step") - 1).alias("last_step")))
+        steps_of = broadcast_if_small(looks.where("end").select("namespace", (F.col("step") - 1).alias("last_step")))
         rows = seen.join(steps_of, "namespace")
         kinds = F.array_compact(
             F.array(
