@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -86,7 +87,8 @@ class EmbeddingIncrement:
     Repeated input rows change nothing; of chunk_states the row with the greatest loaded_at counts.
     A plan succeeded if a commit has its namespace, base_revision and revision; successful plans are
     replayed by sequence, then created_at and plan_id. Null embed_ids embed nothing; plans whose
-    revision is no delivered snapshot are left out. A null hash is a value of its own.
+    revision is no delivered snapshot are left out, as are rows without namespace. A null hash is a
+    value of its own; a null created_at or plan_id comes first.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -131,10 +133,11 @@ class EmbeddingIncrement:
         looks = steps.select("namespace", "revision", "snapshot_no", "step", F.lit(False).alias("end")).unionByName(ends.withColumn("end", F.lit(True)))
         looks = cut(looks)
 
-        held = chunk_states.select("namespace", "snapshot_no", "chunk_id", "loaded_at", pack_hash(F.col("embedding_hash")).alias("hash"))
+        held = chunk_states.select("namespace", "snapshot_no", "chunk_id", F.col("loaded_at").cast("timestamp_ntz").alias("loaded_at"), pack_hash(F.col("embedding_hash")).alias("hash"))
         held = held.join(broadcast_if_small(looks), ["namespace", "snapshot_no"])
-        asked = plans.select(*key, "embed_ids").join(broadcast_if_small(steps.select(*key, "step")), key)
-        asked = asked.select("namespace", "step", F.explode("embed_ids").alias("chunk_id")).where("chunk_id is not null")
+        own, of = plans.select(*key, "embed_ids").alias("p"), broadcast_if_small(steps.select(*key, "step")).alias("s")
+        asked = own.join(of, reduce(lambda a, b: a & b, [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in key]))
+        asked = asked.select("p.namespace", "step", F.explode("embed_ids").alias("chunk_id")).where("chunk_id is not null")
         nothing = F.lit(None)
         parts = (
             held.select("namespace", "chunk_id", "step", F.struct("loaded_at", "hash").alias("row"), F.lit(False).alias("embeds"), "revision", "end")

@@ -53,8 +53,8 @@ def delivered(snapshots: DataFrame) -> DataFrame:
 def orphans_in_time(refs: DataFrame, inventory: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Adds ref_status to those of ``refs`` whose value the inventory did not hold at their time.
 
-    refs: namespace, ref_value, ref_time and any other columns; rows with a null or blank value or no
-    time are ignored. inventory: namespace, snapshot_no, value. snapshots: see delivered(). The key is
+    refs: namespace, ref_value, ref_time and any other columns; rows with a null or blank value, no
+    time or no namespace are ignored. inventory: namespace, snapshot_no, value. snapshots: see delivered(). The key is
     (namespace, value, the last snapshot delivered at or before the time); where none was delivered
     its last column is null, which under full match is an orphan. Status: ``missing`` if the value is
     in no snapshot, ``deleted`` if in one delivered before that last one, else ``late``. Repeated
@@ -64,7 +64,7 @@ def orphans_in_time(refs: DataFrame, inventory: DataFrame, snapshots: DataFrame)
     last = F.array_max(F.filter("line", lambda s: s.delivered_at <= F.col("ref_time")))
     timed = (
         refs.drop("ref_status").select("namespace", "ref_value", "ref_time", F.struct("*").alias("ref"))
-        .where(F.col("ref_time").isNotNull() & (F.btrim("ref_value", F.lit(WHITE)) != ""))
+        .where(F.col("namespace").isNotNull() & F.col("ref_time").isNotNull() & (F.btrim("ref_value", F.lit(WHITE)) != ""))
         .join(broadcast_if_small(line), "namespace", "left")
         .select("namespace", "ref_value", "ref", last.alias("at"))
         .withColumns({"snapshot_no": F.col("at.snapshot_no"), "at": F.col("at.delivered_at")})

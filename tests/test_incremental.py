@@ -109,3 +109,12 @@ def test_no_successful_plan_leaves_all_pending(spark, rows, tmp_path):
     work = EmbeddingIncrement(spark, f"file://{tmp_path}/n")
     work.run(*frames(spark, data))
     assert rows(work.work()) == [("a", "r", "c1", "pending")]
+
+
+def test_nulls_in_plans(spark, rows, tmp_path):
+    commits = [("a", 1, "r0", "r1", 0), ("a", None, "r0", "r9", 0), (None, 1, "r0", "r1", 0)]
+    plans = [(None, "a", "r0", "r1", None, ["c1", "c2"]), ("p", None, "r0", "r1", T0, ["c3"])]
+    chunks = [("a", 1, "c1", "h", None, 0), ("a", 1, "c3", None, T0, 0), (None, 1, "c9", "h", T0, 0)]
+    work = EmbeddingIncrement(spark, f"file://{tmp_path}/q")
+    work.run(*frames(spark, (commits, plans, chunks, [("a", 1, "r1", "d"), (None, 1, "r1", "d")])))
+    assert rows(work.work()) == [("a", "r1", "c3", "pending")]
