@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.canonical import canonical_map
+from plumbline.functions.canonical import canonical_map, is_hash
 
 MODES = ("strict", "text")
 
@@ -80,3 +80,20 @@ def compare(findings: DataFrame, chunks: DataFrame, baseline: DataFrame, scope:
     row = m.agg(F.sum("accepted"), F.sum(F.col("n") - F.col("accepted")), F.sum(F.col("cnt") - F.col("accepted"))).first()
     counts = m.where("n > 0").groupBy("code", "severity").agg(F.sum("n").alias("occurrences"), F.sum("accepted").alias("accepted"), F.sum(F.col("n") - F.col("accepted")).alias("new"))
     return Comparison(counts, *(int(x or 0) for x in row))
+
+
+def save(baseline: DataFrame, path: str) -> None:
+    """Write a baseline; an existing one is refused."""
+    baseline.select("scope", "mode", "fingerprint", "cnt").write.mode("error").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """A saved baseline: one scope, one known mode, well-formed fingerprints; anything else raises."""
+    b = spark.read.parquet(path)
+    if set(b.columns) != {"scope", "mode", "fingerprint", "cnt"}:
+        raise ValueError("not a baseline")
+    bad = ~is_hash(F.col("fingerprint")) | ~F.col("mode").isin(*MODES) | (F.trim("scope") == "") | (F.col("cnt") < 1)
+    row = b.agg(F.count_if(F.coalesce(bad, F.lit(True))), F.count_distinct(F.struct("scope", "mode"))).first()
+    if row[0] or row[1] > 1:
+        raise ValueError("invalid baseline")
+    return b
