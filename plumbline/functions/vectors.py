@@ -21,9 +21,13 @@ def all_zero(v: Column) -> Column:
 
 def norm(v: Column) -> Column:
     """Euclidean norm, scaled by the largest component: neither overflows nor underflows."""
-    peak = F.array_max(F.transform(v, F.abs))
-    scaled = F.aggregate(v, F.lit(0.0), lambda s, x: s + (x / peak) * (x / peak))
-    return F.when(F.coalesce(peak, F.lit(0.0)) == 0, 0.0).otherwise(peak * F.sqrt(scaled))
+    start = F.struct(F.coalesce(F.array_max(F.transform(v, F.abs)), F.lit(0.0)).alias("peak"), F.lit(0.0).alias("sum"))
+    return F.aggregate(
+        v,
+        start,
+        lambda s, x: F.struct(s["peak"].alias("peak"), (s["sum"] + (x / F.nullif(s["peak"], F.lit(0.0))) * (x / F.nullif(s["peak"], F.lit(0.0)))).alias("sum")),
+        lambda s: F.when(s["peak"] == 0, 0.0).otherwise(s["peak"] * F.sqrt(s["sum"])),
+    )
 
 
 def squared_l2(a: Column, b: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.findings import emit, finding, union
 from plumbline.functions import text as T
-from plumbline.session import small
+from plumbline.session import cut, small
 
 #: What a chunk table may have besides chunk_index and text; absent columns count as null.
 OPTIONAL = {
@@ -131,9 +131,10 @@ def duplicate_texts(t: DataFrame) -> DataFrame:
 
     The first index per text comes from a map-side combined aggregation on the text's digest, so copies
     that make up a third of all rows neither meet in a task nor are sorted. Only digests that occur
-    more than once are joined back.
+    more than once are joined back. Texts are read once; what is kept of them is a digest.
     """
     d = valid_texts(t).select("chunk_index", "document_id", "chunk_key", F.unhex(F.sha2(T.normalized(F.col("text")), 256)).alias("d"))
+    d = cut(d)
     first = d.groupBy("d").agg(F.min("chunk_index").alias("first"), F.count("*").alias("n")).where("n > 1").select("d", "first")
     hit = d.join(small(first), "d").where("chunk_index <> first")
     text = F.concat(F.lit("Text duplicates chunk "), F.col("first").cast("string"), F.lit(" after white space normalization."))
@@ -144,11 +145,12 @@ def repeated_boilerplate(t: DataFrame, policy: ChunkPolicy) -> DataFrame:
     """A finding for each chunk and boundary line that at least the threshold of chunks share.
 
     Lines are counted first, with map-side combination; only those over the threshold, of which there
-    are at most 2 / ratio, are joined back.
+    are at most 2 / ratio, are joined back. Texts are read once; what is kept of them is two lines.
     """
     v = valid_texts(t)
-    lines = v.select("chunk_index", "document_id", "chunk_key", F.explode(T.boundary_lines(F.col("text"), policy.boilerplate_min_chars)).alias("line"))
-    valid = v.agg(F.count("*")).scalar()
+    ends = cut(v.select("chunk_index", "document_id", "chunk_key", T.boundary_lines(F.col("text"), policy.boilerplate_min_chars).alias("ends")))
+    lines = ends.select("chunk_index", "document_id", "chunk_key", F.explode("ends").alias("line"))
+    valid = ends.agg(F.count("*")).scalar()
     need = F.greatest(F.lit(policy.boilerplate_min_chunks), F.ceil(F.lit(float(policy.boilerplate_ratio)) * valid))
     often = lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= need)
     text = F.concat(F.lit("A boundary line repeats in "), F.col("n").cast("string"), F.lit(" chunks."))

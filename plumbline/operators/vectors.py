@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.findings import emit, finding, union
 from plumbline.functions import vectors as V
-from plumbline.session import small
+from plumbline.session import cut, small
 
 
 #: Queries that are sent out at once.
@@ -31,22 +31,28 @@ def audit_embeddings(
         raise ValueError("dimensions must be a positive integer")
     if norm_range is not None and not 0 <= norm_range[0] <= norm_range[1] < float("inf"):
         raise ValueError("norm_range must be finite bounds 0 <= min <= max")
-    ids = expected.select("chunk_id").where("chunk_id is not null").distinct()
-    e = embeddings.select(F.col("embedding_index").cast("bigint").alias("chunk_index"), "chunk_id", V.doubles(F.col("vector")).alias("v"))
-    e = e.join(ids.withColumn("known", F.lit(True)), "chunk_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    ids = expected.select("chunk_id").where("chunk_id is not null").distinct().withColumn("known", F.lit(True))
+    raw = embeddings.select(F.col("embedding_index").cast("bigint").alias("chunk_index"), "chunk_id", V.doubles(F.col("vector")).alias("v"))
+    v = F.col("v")
+    fine = F.coalesce(V.finite(v), F.lit(False))
+    # One pass over the vectors; the checks need numbers about them only.
+    facts = raw.select(
+        "chunk_index", "chunk_id", v.isNull().alias("absent"), F.size(v).alias("n"), fine.alias("fine"), (fine & V.all_zero(v)).alias("zero"),
+        (V.norm(v) if norm_range is not None else F.lit(None).cast("double")).alias("size"), F.xxhash64(F.lit(3), "v").alias("d1"), F.xxhash64(F.lit(5), "v").alias("d2"),
+    )
+    e = cut(facts.join(ids, "chunk_id", "left").withColumn("known", F.coalesce("known", F.lit(False))))
     at = dict(chunk_index=F.col("chunk_index"))
-    v, n = F.col("v"), F.size("v")
-    good = v.isNotNull() & V.finite(v)
+    n, here = F.col("n"), ~F.col("absent")
     found = [
         F.when(~F.col("known"), finding("unexpected_embedding", message="Embedding has an unexpected chunk_id.", **at)),
-        F.when(v.isNull(), finding("invalid_vector", message="Vector must be a list of numbers.", **at)),
-        F.when(v.isNotNull() & (n != dimensions), finding("embedding_dimensions", message=F.concat(F.lit(f"Expected {dimensions} dimensions; got "), n.cast("string")), **at)),
-        F.when(v.isNotNull() & ~V.finite(v), finding("nonfinite_embedding", message="Vector holds values that are not finite numbers.", **at)),
-        F.when(good & V.all_zero(v), finding("zero_embedding", message="Vector holds only zeros.", **at)),
+        F.when(F.col("absent"), finding("invalid_vector", message="Vector must be a list of numbers.", **at)),
+        F.when(here & (n != dimensions), finding("embedding_dimensions", message=F.concat(F.lit(f"Expected {dimensions} dimensions; got "), n.cast("string")), **at)),
+        F.when(here & ~F.col("fine"), finding("nonfinite_embedding", message="Vector holds values that are not finite numbers.", **at)),
+        F.when(F.col("zero"), finding("zero_embedding", message="Vector holds only zeros.", **at)),
     ]
     if norm_range is not None:
-        size = V.norm(v)
-        found.append(F.when(good & ~size.between(*map(float, norm_range)), finding("embedding_norm_outlier", message=F.concat(F.lit("Norm out of range: "), F.round(size, 6).cast("string")), **at)))
+        off = F.col("fine") & ~F.col("size").between(*map(float, norm_range))
+        found.append(F.when(off, finding("embedding_norm_outlier", message=F.concat(F.lit("Norm out of range: "), F.round("size", 6).cast("string")), **at)))
     parts = [emit(e, found)]
 
     known = e.where("known")
@@ -57,8 +63,7 @@ def audit_embeddings(
     parts.append(emit(missing, [finding("missing_embedding", message=F.concat(F.lit("No vector for chunk id "), F.col("chunk_id")))]))
 
     if detect_duplicates:
-        originals = known.where(good & (n == dimensions)).join(again.select("chunk_index"), "chunk_index", "left_anti")
-        d = originals.select("chunk_index", "chunk_id", F.xxhash64(F.lit(3), "v").alias("d1"), F.xxhash64(F.lit(5), "v").alias("d2"))
+        d = known.where(F.col("fine") & (n == dimensions)).join(again.select("chunk_index"), "chunk_index", "left_anti").select("chunk_index", "chunk_id", "d1", "d2")
         head = d.groupBy("d1", "d2").agg(F.min(F.struct("chunk_index", "chunk_id")).alias("h"), F.count("*").alias("n")).where("n > 1").drop("n")
         twin = d.join(small(head), ["d1", "d2"]).where("chunk_index <> h.chunk_index")
         text = F.concat(F.lit("Vector matches that of chunk id "), F.col("h.chunk_id"))
