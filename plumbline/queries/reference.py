@@ -226,7 +226,8 @@ def batch(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     documents = docs.join(units, "document_id", "left").select("document_id", "source_version", "expected_units")
     ids = table(spark, d, "ids")
     seen = newest(ids.where("observed > 0"), ["namespace", "id"], "entry_no").where("source_id is not null")
-    receipts = seen.groupBy(own(F.col("source_id"))).agg(F.max("source_version").alias("source_version"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("units", U.empty_units())))).alias("processed_units"))
+    parts = seen.select(own(F.col("source_id")), "source_version", F.explode_outer("units").alias("unit"))
+    receipts = parts.groupBy("document_id").agg(F.max("source_version").alias("source_version"), F.collect_set("unit").alias("processed_units"))
     receipts = receipts.select("*", U.empty_units().alias("empty_units"), U.empty_units().alias("failed_units"), F.lit(True).alias("completed"))
     version = newest(ids.where("expected > 0"), ["namespace", "id"], "entry_no").select(F.col("id").alias("chunk_id"), "source_version")
     stored = newest(table(spark, d, "payloads"), ["chunk_id"], "upsert_no").join(version, "chunk_id", "left")
