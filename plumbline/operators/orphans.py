@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import WHITE
-from plumbline.session import broadcast_if_small, cut
+from plumbline.session import broadcast_if_small, cut, small
 
 MATCH = ("simple", "full", "partial")
 
@@ -80,4 +80,4 @@ def orphans_in_time(refs: DataFrame, inventory: DataFrame, snapshots: DataFrame)
     gone = gone.select(F.col("namespace").alias("_ns"), F.col("ref_value").alias("_value"), F.col("snapshot_no").alias("_no"), "first")
     same = (F.col("namespace") == F.col("_ns")) & (F.col("ref_value") == F.col("_value")) & F.col("snapshot_no").eqNullSafe(F.col("_no"))
     status = F.when(F.col("first").isNull(), "missing").when(F.col("first") < F.col("at"), "deleted").otherwise("late")
-    return timed.join(broadcast_if_small(gone), same).select("ref.*", status.alias("ref_status"))
+    return timed.join(small(gone), same).select("ref.*", status.alias("ref_status"))
