@@ -7,7 +7,9 @@ perturbation moves some coordinates to the nearer cells, its score is the sum of
 distances to the crossed borders (Lv et al., 2007), and the best-scored sets are taken. Candidates of
 all tables are merged, thinned by the Hamming distance of 128 random-hyperplane bits, and ranked by
 exact cosine in double precision. m grows with the logarithm of the number of vectors, so that the
-expected number of unrelated vectors in a bucket stays as it is at every size.
+expected number of unrelated vectors in a bucket doesn't grow with it. A greater m parts neighbours
+too; so ``tables`` follows from m and the share of pairs at the least similarity that must meet.
+Tables are hashed and joined in groups of GROUP, so that only one group's buckets need disk at a time.
 
 Vectors never take part in the bucket shuffle, only 16-byte rows (bucket, row number). Exact copies
 are folded into classes first. A bucket with more than BLOCK members is compared exactly and in
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 from math import log
 
 import numpy as np
@@ -26,10 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.session import broadcast_if_small, cut
+from plumbline.session import broadcast_if_small, cut, drop_shuffles
 
 BLOCK = 2048
 BITS = 128
+GROUP = 2
+LEAST_TABLES = 4
+MOST_TABLES = 256
 
 
 def probe_sets(m: int, probes: int) -> list[tuple[int, ...]]:
@@ -63,11 +69,12 @@ class Hasher:
         mix = g.integers(1, 2**63, size=(self.tables, self.m + 1), dtype=np.uint64) | np.uint64(1)
         return planes, a, b, mix
 
-    def buckets(self, unit: np.ndarray, visits: bool) -> np.ndarray:
-        """(rows, tables) own buckets, or (rows, tables * (1 + probes)) own and visited ones."""
+    def buckets(self, unit: np.ndarray, visits: bool, part: range | None = None) -> np.ndarray:
+        """(rows, tables) own buckets, or (rows, tables * (1 + probes)) own and visited ones; of the
+        tables in ``part`` only, if given."""
         _, a, b, mix = self._draw()
         out, rows = [], np.arange(len(unit))
-        for t in range(self.tables):
+        for t in part or range(self.tables):
             x = (unit @ a[t] + b[t]) / self.width
             cell = np.floor(x)
             key = cell.astype(np.int64).astype(np.uint64) * mix[t, :-1]
@@ -89,6 +96,28 @@ class Hasher:
         return bits.view(np.int64)
 
 
+def tables_for(recall: float, similarity: float, dims: int, m: int, width: float, probes: int, seed: int) -> int:
+    """The number of tables in which the share ``recall`` of pairs at this cosine meets at least once.
+
+    The share that meets in one table is measured on random pairs: the family is Gaussian, so it
+    depends on nothing but the cosine. Tables are independent. Never fewer than LEAST_TABLES.
+    """
+    g, trials = np.random.default_rng(seed + 1), 8
+    a, o = g.normal(size=(2, 2000, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    o -= (o * a).sum(axis=1, keepdims=True) * a
+    o /= np.linalg.norm(o, axis=1, keepdims=True)
+    h = Hasher(dims, trials, m, width, probes, seed + 1)
+    x, y = (h.buckets(v, True).reshape(len(v), trials, -1) for v in (a, similarity * a + (1 - similarity**2) ** 0.5 * o))
+    share = float(((x == y[:, :, :1]) | (y == x[:, :, :1])).any(axis=2).mean())
+    if share == 1:
+        return LEAST_TABLES
+    tables = np.ceil(np.log1p(-recall) / np.log1p(-share)) if share else np.inf
+    if tables > MOST_TABLES:
+        raise ValueError(f"a recall of {recall} at a cosine of {similarity} takes more than {MOST_TABLES} tables; give tables to have less")
+    return max(LEAST_TABLES, int(tables))
+
+
 def _unit(vectors: pd.Series) -> np.ndarray:
     x = np.stack(vectors.to_numpy()).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -116,14 +145,14 @@ def newest_vectors(df: DataFrame, id: str, vector: str, order: str, dims: int) -
     return cut(rows.select(F.monotonically_increasing_id().alias("vid"), "id", F.transform("v", lambda x: x.cast("float") + F.lit(0).cast("float")).alias("v"), norm.alias("norm")))
 
 
-def _candidates(reps: DataFrame, h: Hasher, k: int) -> DataFrame:
-    """Distinct pairs (lo, hi) of row numbers that met in a bucket."""
+def _candidates(reps: DataFrame, h: Hasher, part: range, k: int) -> DataFrame:
+    """Distinct pairs (lo, hi) of row numbers that met in a bucket of these tables."""
 
     def hashed(visits: bool):
         def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if len(b):
-                    yield pd.DataFrame({"vid": b["vid"], "keys": list(h.buckets(_unit(b["v"]), visits))})
+                    yield pd.DataFrame({"vid": b["vid"], "keys": list(h.buckets(_unit(b["v"]), visits, part))})
 
         return reps.select("vid", "v").mapInPandas(f, "vid long, keys array<long>").select(F.explode("keys").alias("key"), "vid")
 
@@ -186,23 +215,26 @@ def similar_vectors(
     dims: int = 64,
     k: int = 10,
     min_similarity: float = 0.95,
-    tables: int = 4,
+    tables: int | None = None,
     probes: int = 12,
     width: float = 1.25,
     seed: int = 7,
+    recall: float = 0.99,
 ) -> DataFrame:
     """(id_a, id_b, similarity, place): the up to k vectors most similar to each one, by cosine, of
     those with at least ``min_similarity``; ties go to the smaller id.
 
     Per id only the row with the greatest ``order`` counts, and only if its vector is usable (see
-    usable()). An empty table gives no rows. Of more than k + 1 exact copies, those beyond the
+    usable()). An empty table gives no rows. Without ``tables`` there are as many as it takes to find
+    the share ``recall`` of the pairs at a cosine of min_similarity, and more of closer ones. Of more than k + 1 exact copies, those beyond the
     first k + 1 ids aren't listed as queries: they all have the same answer, the first k ids.
     """
-    if not 1 <= k <= 1000 or not 0 < min_similarity <= 1 or dims < 2 or tables < 1 or probes < 0 or width <= 0:
-        raise ValueError("k, min_similarity, dims, tables, probes or width out of range")
+    if not 1 <= k <= 1000 or not 0 < min_similarity <= 1 or dims < 2 or (tables is not None and tables < 1) or probes < 0 or width <= 0 or not 0 < recall < 1:
+        raise ValueError("k, min_similarity, dims, tables, probes, width or recall out of range")
     all_ = newest_vectors(df, id, vector, order, dims)
     n = all_.count()
-    h = Hasher(dims, tables, max(8, round(1.04 * log(n + 2))), width, probes, seed)
+    m = max(8, round(1.04 * log(n + 2)))
+    h = Hasher(dims, tables or tables_for(recall, min_similarity, dims, m, width, probes, seed), m, width, probes, seed)
 
     # Classes of equal vectors: narrow rows only, and of each class the first k + 1 ids.
     same = all_.select("vid", "id", F.xxhash64(F.lit(1), "v").alias("d1"), F.xxhash64(F.lit(2), "v").alias("d2"))
@@ -214,21 +246,28 @@ def similar_vectors(
     others = broadcast_if_small(copies.where("vid <> rep").select("vid"))
     reps = all_.join(others, "vid", "left_anti")
 
-    pairs = _candidates(reps, h, k)
-
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 s = h.signs(_unit(b["v"]))
                 yield pd.DataFrame({"vid": b["vid"], "s1": s[:, 0], "s2": s[:, 1]})
 
-    signs = reps.select("vid", "v").mapInPandas(signed, "vid long, s1 long, s2 long")
+    signs = cut(reps.select("vid", "v").mapInPandas(signed, "vid long, s1 long, s2 long"))
     # Of n bits those of a pair at angle t differ with probability t / pi; six deviations are allowed.
     p = float(np.arccos(min_similarity) / np.pi)
     most = int(BITS * p + 6 * (BITS * p * (1 - p)) ** 0.5) + 1
     apart = F.bit_count(F.expr("x.s1 ^ y.s1")) + F.bit_count(F.expr("x.s2 ^ y.s2"))
-    near = pairs.join(signs.alias("x"), F.col("lo") == F.col("x.vid")).join(signs.alias("y"), F.col("hi") == F.col("y.vid"))
-    near = cut(near.where(apart <= most).select("lo", "hi"))
+
+    def near_in(part: range) -> DataFrame:
+        near = _candidates(reps, h, part, k).join(signs.alias("x"), F.col("lo") == F.col("x.vid")).join(signs.alias("y"), F.col("hi") == F.col("y.vid"))
+        return cut(near.where(apart <= most).select("lo", "hi"))
+
+    found = []
+    for s in range(0, h.tables, GROUP):
+        if s:
+            drop_shuffles(df.sparkSession)
+        found.append(near_in(range(s, min(s + GROUP, h.tables))))
+    near = cut(reduce(DataFrame.unionByName, found).distinct())
     wanted = near.select(F.explode(F.array("lo", "hi")).alias("vid")).distinct()
     few = reps.join(broadcast_if_small(wanted), "vid", "left_semi").select("vid", "v", "norm")
     scored = near.join(few.alias("a"), F.col("lo") == F.col("a.vid")).join(few.alias("b"), F.col("hi") == F.col("b.vid"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +41,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files that no DataFrame needs any more.
+
+    Spark removes them when the driver happens to collect its garbage, which may be after the disk is
+    full. Python tells the JVM of objects that it gave up with up to a second's delay.
+    """
+    gc.collect()
+    time.sleep(1.2)
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it was counted to hold at most ``rows`` rows, else df as it is.
 

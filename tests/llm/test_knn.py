@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -68,6 +70,23 @@ def test_recall_of_neighbours_at_the_threshold(spark):
     assert sum(ids[i + 300] in got.get(ids[i], ()) for i in range(300)) >= 0.9 * 300
 
 
+@pytest.mark.parametrize("n", [10**5, 10**6, 10**7])
+def test_recall_at_the_threshold_stays_as_the_table_grows(spark, monkeypatch, n):
+    """With as many hash functions as n vectors have, the least similar pairs are still found."""
+    monkeypatch.setattr(knn, "log", lambda _: math.log(n))
+    g = np.random.default_rng(6)
+    a, o = g.normal(size=(2, 1000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    o -= (o * a).sum(1, keepdims=True) * a
+    o /= np.linalg.norm(o, axis=1, keepdims=True)
+    x = np.concatenate([a, 0.9501 * a + (1 - 0.9501**2) ** 0.5 * o]).astype(np.float32)
+    ids = [f"c{i:04d}" for i in range(2000)]
+    got = lists(knn.similar_vectors(frame(spark, ids, x), "chunk_id", "vector", "upsert_no"))
+    hit = sum(ids[i + 1000] in got.get(ids[i], ()) for i in range(1000))
+    print(f"n {n}: {hit} of 1000")
+    assert hit >= 0.98 * 1000
+
+
 def test_copies_versions_and_unusable_vectors(spark, rows):
     v = [1.0] + [0.0] * 15
     nan, inf = float("nan"), float("inf")
