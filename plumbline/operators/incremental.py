@@ -6,6 +6,11 @@ writes output, state and new watermarks into a folder of its own, and publishes
 creating the next numbered commit file, which fails if another run created it first. A run that dies
 before leaves only an unreferenced folder; the next one starts from the same watermark. So no commit
 is skipped or repeated.
+
+Rows of commits below the watermark may still arrive: plans, snapshots, chunks, even the commit's own.
+So a run keeps a digest of all that its processed commits were replayed from, per namespace. Where the
+next run finds another one, it replays that namespace from its first commit and takes the place of all
+generations before.
 """
 
 from __future__ import annotations
@@ -19,10 +24,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import pack_hash
+from plumbline.plans.snapshot import row_sums
 from plumbline.session import broadcast_if_small, cut
 
 STATE = "namespace string, chunk_id string, hash binary"
-MARKS = "namespace string, sequence int"
+#: since: the generation from which on the namespace's ``repeated`` rows count.
+MARKS = "namespace string, sequence int, digest array<bigint>, since int"
 
 
 class StaleRunError(RuntimeError):
@@ -81,7 +88,7 @@ class EmbeddingIncrement:
 
     State per namespace and chunk: the embedding hash embedded last. Kinds of rows in a generation:
     ``repeated`` (namespace, revision, chunk_id: a run embedded what was already there; they add up
-    over the generations), ``pending`` (a chunk of the newest snapshot that is still to embed; only
+    over the generations since the namespace was last replayed from its first commit), ``pending`` (a chunk of the newest snapshot that is still to embed; only
     the last generation's count) and ``state``.
 
     Repeated input rows change nothing; of chunk_states the row with the greatest loaded_at counts.
@@ -105,22 +112,45 @@ class EmbeddingIncrement:
 
         # The upper limit is fixed first, by writing it: commits that arrive during the run wait.
         upper = commits.groupBy("namespace").agg(F.max("sequence").alias("sequence"))
-        upper = upper.unionByName(old).groupBy("namespace").agg(F.max("sequence").alias("sequence"))
-        upper.write.parquet(f"{folder}/marks")
-        upper = spark.read.schema(MARKS).parquet(f"{folder}/marks")
-        bounds = upper.withColumnRenamed("sequence", "_to").join(old.withColumnRenamed("sequence", "_from"), "namespace", "left")
-        todo = (
-            commits.select("namespace", "base_revision", "revision", "sequence").join(bounds, "namespace")
-            .where("sequence <= _to and (_from is null or sequence > _from)")
+        upper = cut(upper.unionByName(old.select("namespace", "sequence")).groupBy("namespace").agg(F.max("sequence").alias("sequence")))
+        runs = (
+            commits.select("namespace", "base_revision", "revision", "sequence")
+            .join(upper.withColumnRenamed("sequence", "_to"), "namespace").where("sequence <= _to")
             .groupBy("namespace", "base_revision", "revision").agg(F.min("sequence").alias("sequence"))
         )
-        self._replay(todo, plans, chunk_states, document_states, state).write.partitionBy("kind").parquet(f"{folder}/rows")
+        # Runs and snapshots are few; each list is made once, however many chunks they have.
+        runs, snapshots = cut(runs), cut(document_states.select("namespace", "snapshot_no", "revision").distinct())
+        marks = cut(self._marks(upper, old, runs, plans, chunk_states, snapshots, number))
+        marks.drop("_from").write.parquet(f"{folder}/marks")
+        todo = runs.join(marks.select("namespace", "_from"), "namespace").where("_from is null or sequence > _from").drop("_from")
+        state = state.join(broadcast_if_small(marks.where("_from is not null").select("namespace")), "namespace", "left_semi")
+        self._replay(todo, plans, chunk_states, snapshots, state).write.partitionBy("kind").parquet(f"{folder}/rows")
         self.store.publish(number, {"folder": folder, "base": number - 1})
         return number
 
-    def _replay(self, todo: DataFrame, plans: DataFrame, chunk_states: DataFrame, document_states: DataFrame, state: DataFrame) -> DataFrame:
-        # Runs and snapshots are few; each list is made once, however many chunks they have.
-        snapshots = cut(document_states.select("namespace", "snapshot_no", "revision").distinct())
+    def _marks(self, upper: DataFrame, old: DataFrame, runs: DataFrame, plans: DataFrame, chunk_states: DataFrame, snapshots: DataFrame, number: int) -> DataFrame:
+        """The new marks, with the sequence _from which on to replay: null for all of the namespace."""
+        key = ["namespace", "base_revision", "revision"]
+        asked = [F.xxhash64(F.lit(i), "embed_ids").alias(f"e{i}") for i in (1, 2)]
+        steps = cut(plans.select(*key, "created_at", "plan_id", *asked).distinct().join(runs, key).join(snapshots, ["namespace", "revision"]))
+        used = broadcast_if_small(steps.select("namespace", "snapshot_no").distinct())
+        held = chunk_states.join(used, ["namespace", "snapshot_no"]).groupBy("namespace", "snapshot_no")
+        held = held.agg(F.array(*row_sums([F.col("chunk_id"), F.col("loaded_at"), F.col("embedding_hash")])).alias("held"))
+        steps = cut(steps.join(held, ["namespace", "snapshot_no"], "left"))
+
+        def digest(of: DataFrame, name: str) -> DataFrame:
+            return of.groupBy("namespace").agg(F.array(*row_sums([F.col(c) for c in (*key[1:], "sequence", "created_at", "plan_id", "e1", "e2", "snapshot_no", "held")])).alias(name))
+
+        old = old.select("namespace", F.col("sequence").alias("_from"), F.col("digest").alias("_digest"), F.col("since").alias("_since"))
+        before = steps.join(old.select("namespace", "_from"), "namespace").where("sequence <= _from")
+        marks = upper.join(old, "namespace", "left").join(digest(before, "_now"), "namespace", "left").join(digest(steps, "digest"), "namespace", "left")
+        none = F.array().cast("array<bigint>")
+        same = F.coalesce("_now", none).eqNullSafe(F.col("_digest"))
+        marks = marks.withColumn("_from", F.when(same, F.col("_from")))
+        since = F.when(F.col("_from").isNull(), number).otherwise(F.col("_since"))
+        return marks.select("namespace", "sequence", F.coalesce("digest", none).alias("digest"), since.alias("since"), "_from")
+
+    def _replay(self, todo: DataFrame, plans: DataFrame, chunk_states: DataFrame, snapshots: DataFrame, state: DataFrame) -> DataFrame:
         key = ["namespace", "base_revision", "revision", "created_at", "plan_id"]
         ok = plans.select(*key).distinct().join(todo, key[:3]).join(snapshots, ["namespace", "revision"])
         line = W.partitionBy("namespace").orderBy("sequence", "created_at", "plan_id")
@@ -179,7 +209,9 @@ class EmbeddingIncrement:
         done = self.store.commits()
         if not done:
             raise ValueError("no run was committed yet")
-        out = self._rows(done[-1][1]["folder"], "pending")
-        for _, c in done:
-            out = out.unionByName(self._rows(c["folder"], "repeated"))
+        last = done[-1][1]["folder"]
+        out, marks = self._rows(last, "pending"), self.spark.read.schema(MARKS).parquet(f"{last}/marks")
+        for number, c in done:
+            counts = marks.where(F.coalesce("since", F.lit(0)) <= number).select("namespace")
+            out = out.unionByName(self._rows(c["folder"], "repeated").join(broadcast_if_small(counts), "namespace", "left_semi").select(out.columns))
         return out.select("namespace", "revision", "chunk_id", F.col("kind").alias("work_kind")).distinct()

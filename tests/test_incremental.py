@@ -74,6 +74,20 @@ def test_one_run_and_many_give_the_same(spark, rows, tmp_path, seed):
         assert rows(many.work()) == brute(part, *data[1:])
 
 
+@pytest.mark.parametrize("late", ["commits", "plans", "chunks", "docs", "all"])
+def test_rows_that_arrive_after_the_run_count(spark, rows, tmp_path, late):
+    """Commits below the watermark are replayed with what has come since; every run is right for what it sees."""
+    data, r = make(3), random.Random(4)
+    part = [[x for x in t if late not in (n, "all") or r.random() < 0.6] for n, t in zip(("commits", "plans", "chunks", "docs"), data)]
+    work = EmbeddingIncrement(spark, f"file://{tmp_path}/late")
+    for seen in (part, data, data):
+        work.run(*frames(spark, seen))
+        held = {(d[0], d[2]) for d in seen[3]}
+        assert rows(work.work()) == brute(seen[0], [p for p in seen[1] if (p[1], p[3]) in held], *seen[2:])
+    since = spark.read.parquet(f"{work.store.commits()[-1][1]['folder']}/marks").select("since").collect()
+    assert since and all(r.since < 3 for r in since)  # where nothing came, nothing is replayed
+
+
 def test_failure_before_the_commit_leaves_nothing(spark, rows, tmp_path, monkeypatch):
     data = make(5)
     work = EmbeddingIncrement(spark, f"file://{tmp_path}/s")
