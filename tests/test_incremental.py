@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from plumbline.operators.incremental import EmbeddingIncrement, GenerationStore, StaleRunError
+from plumbline.queries import problems
 
 T0 = datetime(2025, 1, 1)
 COMMITS = "namespace string, sequence int, base_revision string, revision string, _to int"
@@ -88,6 +89,14 @@ def test_rows_that_arrive_after_the_run_count(spark, rows, tmp_path, late):
     assert since and all(r.since < 3 for r in since)  # where nothing came, nothing is replayed
 
 
+def test_the_query_in_two_runs_gives_what_one_run_gives(spark, rows, monkeypatch):
+    numbers, run = [], EmbeddingIncrement.run
+    monkeypatch.setattr(EmbeddingIncrement, "run", lambda *a: numbers.append(run(*a)))
+    two = rows(problems.QUERIES["p2_in_two_runs"](spark, "/root/testdata/sf0.001"))
+    assert numbers == [1, 2]
+    assert two and two == rows(problems.p2_found(spark, "/root/testdata/sf0.001"))
+
+
 def test_failure_before_the_commit_leaves_nothing(spark, rows, tmp_path, monkeypatch):
     data = make(5)
     work = EmbeddingIncrement(spark, f"file://{tmp_path}/s")
