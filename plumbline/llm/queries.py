@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.knn import mutual_pairs, similar_vectors
-from plumbline.llm.leakage import leaked_items
+from plumbline.llm.leakage import contained_items, leak_shares, leaked_items
 from plumbline.llm.mixing import Mix, mix_sources
 from plumbline.llm.textquality import text_quality
 
@@ -29,6 +29,22 @@ def p6_by_item(spark: SparkSession, d: str) -> DataFrame:
     return p6_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each item leaked into each document."""
+    return leak_shares(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p6_contained(spark: SparkSession, d: str) -> DataFrame:
+    """Items that a document holds nearly whole: four of five of their shingles in one stretch."""
+    return contained_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p6_ascii(spark: SparkSession, d: str) -> DataFrame:
+    """p6_found of the texts whose words SQL can tell, those without any but ASCII characters."""
+    plain = F.col("text").rlike(r"^[\x00-\x7F]*$")
+    return leaked_items(table(spark, d, "documents").where(plain), table(spark, d, "eval_items").where(plain))
+
+
 def _mix(spark: SparkSession, d: str) -> Mix:
     return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
@@ -51,7 +67,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_stats(spark, d).where("flags >= 2 and doc_id is not null").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p6_found, p6_by_item, p7_mix, p7_report, p8_found, p8_stats)}
+QUERIES = {f.__name__: f for f in (p4_found, p6_found, p6_by_item, p6_shares, p6_contained, p6_ascii, p7_mix, p7_report, p8_found, p8_stats)}
 
 SQL = {
     "p4_found": """
@@ -78,5 +94,14 @@ f AS (
     + (CASE WHEN len(w) = 0 THEN 0 ELSE coalesce(common, 0) / len(w) END < 0.15)::INT AS flags
   FROM t LEFT JOIN c USING (doc_id))
 SELECT DISTINCT doc_id FROM f WHERE flags >= 2
+""",
+    "p6_ascii": r"""
+WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM eval_items),
+w AS (SELECT kind, id, regexp_extract_all(lower(@JOIN(@JOIN(text))), '[a-z0-9]+') AS w FROM t WHERE regexp_full_match(text, '[\x00-\x7F]*')),
+r AS (SELECT DISTINCT kind, id, array_to_string(w[i : i + 11], ' ') AS run FROM (SELECT kind, id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM w))
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM r d JOIN r i USING (run) WHERE d.kind = 'd' AND i.kind = 'i'
 """,
 }
+# A word divided by a hyphen at a line end is one.
+_JOINED = r"regexp_replace(@, '([a-zA-Z0-9])-[ \t\v\f]*(\r\n|[\r\n\v\f])[\s\v]*([a-zA-Z0-9])', '\1\3', 'g')"
+SQL["p6_ascii"] = SQL["p6_ascii"].replace("@JOIN(@JOIN(text))", _JOINED.replace("@", _JOINED.replace("@", "text")))

@@ -2,8 +2,7 @@ import random
 
 import pytest
 
-from plumbline.llm import leakage
-from plumbline.llm.leakage import leaked_items, words_of
+from plumbline.llm.leakage import SizeClass, contained_items, leak_shares, leaked_items, words_of
 
 DOC = "doc_id bigint, text string, item_id string, words string"
 ITEM = "item_id bigint, text string, doc_id string"
@@ -45,14 +44,57 @@ def test_against_brute_force(spark, rows, short):
     assert len(got) > 20
 
 
-def test_blocks_of_items_give_the_same(spark, rows, monkeypatch):
+def test_long_runs_are_divided_and_lose_nothing(spark, rows):
     r = random.Random(9)
-    items = [(i, " ".join(f"t{r.randrange(50)}" for _ in range(30)), "") for i in range(20)]
-    docs = [(i, "x " + " ".join(items[i % 20][1].split()[5 : 5 + 10 + i % 4]) + " y", "", "") for i in range(60)]
+    items = [(i, " ".join(f"t{r.randrange(50)}" for _ in range(300)), "") for i in range(6)]
+    docs = [(i, "x " + " ".join(items[i % 6][1].split()[5 * i : 5 * i + 10 + 40 * (i % 7)]) + " y", "", "") for i in range(40)]
     a, b = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)
-    whole = rows(leaked_items(a, b))
-    monkeypatch.setattr(leakage, "BLOCK_CHARS", 500)
-    assert rows(leaked_items(a, b)) == whole == brute(docs, items, 12)
+    assert rows(leaked_items(a, b)) == brute(docs, items, 12)
+
+
+def test_shares_are_exact(spark):
+    r = random.Random(4)
+    items = [(i, " ".join(f"t{r.randrange(9)}" for _ in range(n)), "") for i, n in enumerate((12, 13, 40, 80))]
+    docs = [(i, f"x {i} " + " ".join(items[i % 4][1].split()[i % 3 : i % 3 + 11 + i]), "", "") for i in range(24)]
+    got = {(x.doc_id, x.item_id): (x.shared_shingles, x.item_shingles) for x in leak_shares(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)).collect()}
+    want = {}
+    for d, t, *_ in docs:
+        w = t.split()
+        have = {tuple(w[k : k + 12]) for k in range(len(w) - 11)}
+        for i, u, *_ in items:
+            v = u.split()
+            places = {p for k in range(len(v) - 11) if tuple(v[k : k + 12]) in have for p in range(k, k + 8)}
+            if places:
+                want[d, i] = (len(places), len(v) - 4)
+    assert got == want and len(want) > 15
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.8, 1.0])
+def test_whole_items_inside_long_documents(spark, threshold):
+    r = random.Random(7)
+    items = [(i, " ".join(f"v{r.randrange(4000)}" for _ in range(r.choice((6, 15, 40, 150)))), "") for i in range(40)]
+    docs, want = [], set()
+    for i in range(400):
+        w = [f"v{r.randrange(4000)}" for _ in range(r.choice((0, 30, 900)))]
+        item, text, _ = items[i % 40]
+        v, at = text.split(), r.randrange(len(w) + 1)
+        for _ in range(r.choice((0, 0, 1, 2))):  # each change breaks up to five shingles
+            v[r.randrange(len(v))] = "changed"
+        docs.append((i, " ".join(w[:at] + v + w[at:]), "", ""))
+    shingles = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    for d, t, *_ in docs:
+        have = shingles(t.split())
+        want |= {(d, i) for i, u, _ in items if len(shingles(u.split()) & have) >= threshold * len(shingles(u.split()))}
+    found = contained_items(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM), threshold=threshold)
+    got = {(x.doc_id, x.item_id) for x in found.collect()}
+    assert got <= want  # verified: nothing beyond
+    assert len(got) >= 0.97 * len(want) > 100
+
+
+def test_classes_grow_by_a_quarter_and_cover_all_sizes():
+    for n in range(1, 3000):
+        c = SizeClass.of(n, 0.8, 0.99)
+        assert c.low <= n <= c.high <= max(4, 1.25 * c.low) and c.window >= c.high and c.bands * c.rows <= 64
 
 
 def test_disguises(spark, rows):
