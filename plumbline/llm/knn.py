@@ -13,13 +13,19 @@ Tables are hashed and joined in groups of GROUP, so that only one group's bucket
 
 Vectors never take part in the bucket shuffle, only 16-byte rows (bucket, row number). Exact copies
 are folded into classes first. A bucket with more than BLOCK members is compared exactly and in
-full, in tasks of BLOCK x BLOCK members that pass on only each member's k best; none is cut off.
+full, in tasks of BLOCK x BLOCK members that pass on only each member's k best and all that tie with
+the k-th; none is cut off.
+
+similar_vectors() does this for all pairs at a stated least similarity. Lists of the k most similar
+without such a bound are topk_by_hash()'s, for a stated query set: there the family is fitted, on bounded
+samples, to the similarities that the k-th neighbours really have.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 from math import log
 
@@ -36,6 +42,10 @@ BITS = 128
 GROUP = 2
 LEAST_TABLES = 4
 MOST_TABLES = 256
+#: Cosines in single precision differ by less from those in double.
+TIE = 2e-6
+#: Bounds of what topk_by_hash() is fitted on, and of the queries that are sent out at once.
+FIT_QUERIES, FIT_ROWS, QUERY_BLOCK = 200, 2000, 2000
 
 
 def probe_sets(m: int, probes: int) -> list[tuple[int, ...]]:
@@ -195,8 +205,9 @@ def _crowded(reps: DataFrame, base: DataFrame, visits: DataFrame, crowded: DataF
             part = q.iloc[s : s + 512]
             sim, qid = _unit(part["v"]).astype(np.float32) @ x.T, part["vid"].to_numpy()
             sim[qid[:, None] == mid[None, :]] = -2
-            top = np.argpartition(-sim, min(k, len(mid)) - 1, axis=1)[:, :k]
-            out.append(pd.DataFrame({"vid": np.repeat(qid, top.shape[1]), "other": mid[top].ravel()}))
+            kth = -np.partition(-sim, min(k, len(mid)) - 1, axis=1)[:, min(k, len(mid)) - 1]
+            a, b = np.nonzero((sim >= kth[:, None] - TIE) & (sim > -2))  # single precision decides nothing near the k-th
+            out.append(pd.DataFrame({"vid": qid[a], "other": mid[b]}))
         return pd.concat(out)
 
     return both.groupBy("key", "bi", "bj").applyInPandas(best, "vid long, other long")
@@ -204,7 +215,25 @@ def _crowded(reps: DataFrame, base: DataFrame, visits: DataFrame, crowded: DataF
 
 def _cosine(a: str, b: str) -> Column:
     dot = F.aggregate(F.zip_with(f"{a}.v", f"{b}.v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return F.least(F.lit(1.0), dot / (F.col(f"{a}.norm") * F.col(f"{b}.norm")))
+    return F.least(F.lit(1.0), F.round(dot / (F.col(f"{a}.norm") * F.col(f"{b}.norm")), 12))
+
+
+def _classes(all_: DataFrame) -> DataFrame:
+    """(vid, id, rep, c) of the vectors that have copies: rep is the least vid of the c equal ones; cut."""
+    same = all_.select("vid", "id", F.xxhash64(F.lit(1), "v").alias("d1"), F.xxhash64(F.lit(2), "v").alias("d2"))
+    several = same.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min("vid").alias("rep")).where("c > 1")
+    return cut(same.join(broadcast_if_small(cut(several)), ["d1", "d2"]).select("vid", "id", "rep", "c"))
+
+
+def vector_classes(df: DataFrame, id: str, vector: str, order: str, dims: int = 64) -> DataFrame:
+    """(id, class_id, copies) of every id with a usable newest vector: exact copies have the class of
+    their least id. With the lists of similar_vectors() it tells all about ids that these don't list."""
+    all_ = newest_vectors(df, id, vector, order, dims)
+    copies = _classes(all_)
+    first = copies.groupBy("rep").agg(F.min("id").alias("class_id"))
+    named = copies.join(broadcast_if_small(first), "rep").select("id", "class_id", F.col("c").alias("copies"))
+    alone = all_.join(broadcast_if_small(copies.select("vid")), "vid", "left_anti")
+    return alone.select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("copies")).unionByName(named)
 
 
 def similar_vectors(
@@ -212,22 +241,23 @@ def similar_vectors(
     id: str,
     vector: str,
     order: str,
+    min_similarity: float,
     dims: int = 64,
     k: int = 10,
-    min_similarity: float = 0.95,
     tables: int | None = None,
     probes: int = 12,
     width: float = 1.25,
     seed: int = 7,
     recall: float = 0.99,
 ) -> DataFrame:
-    """(id_a, id_b, similarity, place): the up to k vectors most similar to each one, by cosine, of
-    those with at least ``min_similarity``; ties go to the smaller id.
+    """(id_a, id_b, similarity, place): the up to k vectors most similar to each one, by cosine (to twelve
+    digits), of those with at least ``min_similarity``; ties go to the smaller id.
 
     Per id only the row with the greatest ``order`` counts, and only if its vector is usable (see
     usable()). An empty table gives no rows. Without ``tables`` there are as many as it takes to find
-    the share ``recall`` of the pairs at a cosine of min_similarity, and more of closer ones. Of more than k + 1 exact copies, those beyond the
-    first k + 1 ids aren't listed as queries: they all have the same answer, the first k ids.
+    the share ``recall`` of the pairs at a cosine of min_similarity, and more of closer ones. Of more than
+    k + 1 exact copies, those beyond the first k + 1 ids aren't listed as queries: they all have the same
+    answer, the first k ids; vector_classes() names the class of every id.
     """
     if not 1 <= k <= 1000 or not 0 < min_similarity <= 1 or dims < 2 or (tables is not None and tables < 1) or probes < 0 or width <= 0 or not 0 < recall < 1:
         raise ValueError("k, min_similarity, dims, tables, probes, width or recall out of range")
@@ -237,9 +267,7 @@ def similar_vectors(
     h = Hasher(dims, tables or tables_for(recall, min_similarity, dims, m, width, probes, seed), m, width, probes, seed)
 
     # Classes of equal vectors: narrow rows only, and of each class the first k + 1 ids.
-    same = all_.select("vid", "id", F.xxhash64(F.lit(1), "v").alias("d1"), F.xxhash64(F.lit(2), "v").alias("d2"))
-    several = same.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min("vid").alias("rep")).where("c > 1")
-    copies = cut(same.join(broadcast_if_small(cut(several)), ["d1", "d2"]).select("vid", "id", "rep"))
+    copies = _classes(all_).drop("c")
     first = W.partitionBy("rep").orderBy("id")
     members = copies.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k + 1).select("rep", "id", "rn")
     members = cut(members)
@@ -294,3 +322,157 @@ def mutual_pairs(lists: DataFrame) -> DataFrame:
     """(id_a, id_b), a < b, of the pairs in which each is in the other's list."""
     pair = lists.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
     return pair.groupBy("a", "b").count().where("count = 2").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+
+
+@dataclass(frozen=True)
+class Family:
+    """A fitted hash family, and what is expected of it: the share of neighbours found, and of all rows looked at."""
+
+    m: int
+    width: float
+    tables: int
+    recall: float
+    looked_at: float
+
+
+def meeting_shares(cosines: np.ndarray, m: int, width: float, probes: int, dims: int, seed: int, pairs: int = 400, trials: int = 8) -> np.ndarray:
+    """For each cosine, the share of pairs of which the one visits the other's bucket in one table."""
+    g = np.random.default_rng(seed)
+    a, o = g.normal(size=(2, pairs, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    o -= (o * a).sum(axis=1, keepdims=True) * a
+    o /= np.linalg.norm(o, axis=1, keepdims=True)
+    h = Hasher(dims, trials, m, width, probes, seed)
+    x = h.buckets(a, True).reshape(pairs, trials, -1)
+    return np.array([(x == h.buckets(c * a + (1 - c * c) ** 0.5 * o, False)[:, :, None]).any(axis=2).mean() for c in cosines])
+
+
+def fit_family(near: np.ndarray, far: np.ndarray, dims: int, rows: int, probes: int, recall: float, seed: int) -> Family:
+    """The family that finds the share ``recall`` of neighbours at the cosines ``near`` with the least work.
+
+    far: cosines of arbitrary pairs; rows: how many vectors there are. Work per row is its hashing and
+    the pairs it is looked at in. What is found follows from the cosines alone, as the family is Gaussian.
+    """
+    grid, best = np.linspace(-0.3, 1, 27), None
+    for m in range(4, max(7, round(1.5 * log(rows + 2))) + 1, 2):
+        for width in (0.7, 1.0, 1.4, 2.0):
+            share = meeting_shares(grid, m, width, probes, dims, seed)
+            hit, miss = np.interp(near, grid, share), np.interp(far, grid, share)
+            tables = 1
+            while tables < MOST_TABLES and (1 - (1 - hit) ** tables).mean() < recall:
+                tables += 1
+            got, seen = float((1 - (1 - hit) ** tables).mean()), float((1 - (1 - miss) ** tables).mean())
+            work = tables * (m * dims * 0.02 + 60) + seen * QUERY_BLOCK * 90
+            if got >= recall and (best is None or work < best[0]):
+                best = (work, Family(m, width, tables, got, seen))
+    if best is None:
+        raise ValueError(f"a recall of {recall} takes more than {MOST_TABLES} tables; use the exact search")
+    return best[1]
+
+
+def _best(q: np.ndarray, id: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k best, ties to the smaller id."""
+    order = np.lexsort((id, -sim, q))
+    q = q[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+    return order[rank < k]
+
+
+def topk_by_hash(
+    df: DataFrame,
+    queries: DataFrame,
+    id: str,
+    vector: str,
+    order: str,
+    k: int = 10,
+    dims: int = 64,
+    recall: float = 0.95,
+    probes: int = 32,
+    seed: int = 7,
+    family: Family | None = None,
+) -> DataFrame:
+    """(id_a, id_b, similarity, place): for each id of ``queries`` (first column) the k vectors most
+    similar to its own, however far, found by multiprobe hashing with the expected ``recall``.
+
+    The family is fitted to the cosines of the k nearest of FIT_QUERIES queries, found exactly, and to
+    those of FIT_ROWS rows; it is then applied to every row. Queries are sent out in blocks of
+    QUERY_BLOCK with the buckets that they visit, each block one pass over all rows; a task looks at its rows
+    that lie in such a bucket and passes on each query's k best. Nothing else is shuffled. Copies are
+    vectors like others, ties (to twelve digits) go to the smaller id. Which rows count is as in
+    similar_vectors(); queries without a usable vector have no list.
+    """
+    if not 1 <= k <= 1000 or dims < 2 or probes < 0 or not 0 < recall < 1:
+        raise ValueError("k, dims, probes or recall out of range")
+    all_ = newest_vectors(df, id, vector, order, dims)
+    asked = all_.join(queries.select(F.col(queries.columns[0]).alias("id")).distinct(), "id", "left_semi").select("id", "v")
+    asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(1 + asked.count() // QUERY_BLOCK))))
+    blocks = [r[0] for r in asked.select("block").distinct().collect()]  # one in QUERY_BLOCK queries
+    n, kind = all_.count(), dict(all_.dtypes)["id"]
+    schema = f"id_a {kind}, id_b {kind}, similarity double"
+    base = all_.select("id", "v")
+    if not blocks:
+        return df.sparkSession.createDataFrame([], schema + ", place int")
+
+    def some(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+        r = rows.select("id", "v").orderBy(F.xxhash64("id")).limit(most).toPandas()  # a bounded sample
+        return r["id"].to_numpy(), _unit(r["v"])
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        place = F.row_number().over(W.partitionBy("id_a").orderBy(F.desc("similarity"), "id_b"))
+        return rows.withColumn("place", place).where(F.col("place") <= k)
+
+    if family is None:
+        ids, unit = some(asked, FIT_QUERIES)
+
+        def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if not len(b):
+                    continue
+                own = b["id"].to_numpy()
+                sim = unit @ _unit(b["v"]).T
+                sim[ids[:, None] == own[None, :]] = -2
+                q, at = np.nonzero(sim >= -np.partition(-sim, min(k, len(b)) - 1, axis=1)[:, [min(k, len(b)) - 1]])
+                keep = _best(q, own[at], sim[q, at], k)
+                yield pd.DataFrame({"id_a": ids[q[keep]], "id_b": own[at[keep]], "similarity": sim[q[keep], at[keep]]})
+
+        near = ranked(base.mapInPandas(exact, schema).where("similarity > -2")).select("similarity").toPandas()["similarity"].to_numpy()
+        far = (unit @ some(base, FIT_ROWS)[1].T).ravel()
+        family = fit_family(near if len(near) else np.ones(1), far, dims, n, probes, recall, seed)
+    h = Hasher(dims, family.tables, family.m, family.width, probes, seed)
+
+    def search(block: int) -> DataFrame:
+        ids, unit = some(asked.where(F.col("block") == block), n + 1)  # QUERY_BLOCK or so
+        visits = h.buckets(unit, True).reshape(len(ids), h.tables, -1)
+        tables = []
+        for t in range(h.tables):
+            keys = visits[:, t].ravel()
+            at = np.argsort(keys, kind="stable")
+            tables.append((keys[at], (at // visits.shape[2]).astype(np.int32)))
+        sent = df.sparkSession.sparkContext.broadcast((ids, unit, tables))
+
+        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, unit, tables = sent.value
+            for b in batches:
+                if not len(b):
+                    continue
+                own, x = b["id"].to_numpy(), _unit(b["v"])
+                buckets, met = h.buckets(x, False), []
+                for t, (keys, who) in enumerate(tables):
+                    low, high = (np.searchsorted(keys, buckets[:, t], side=s) for s in ("left", "right"))
+                    c = high - low
+                    at = np.repeat(low - np.cumsum(c) + c, c) + np.arange(int(c.sum()))
+                    met.append(who[at].astype(np.int64) * len(b) + np.repeat(np.arange(len(b)), c))
+                q, row = np.divmod(np.unique(np.concatenate(met)), len(b))
+                sim = np.empty(len(q))
+                for s in range(0, len(q), 50_000):
+                    part = slice(s, s + 50_000)
+                    sim[part] = np.einsum("ij,ij->i", unit[q[part]], x[row[part]])
+                sim = np.minimum(1.0, np.round(sim, 12))
+                other = ids[q] != own[row]
+                q, row, sim = q[other], row[other], sim[other]
+                keep = _best(q, own[row], sim, k)
+                yield pd.DataFrame({"id_a": ids[q[keep]], "id_b": own[row[keep]], "similarity": sim[keep]})
+
+        return base.mapInPandas(look, schema)
+
+    return ranked(reduce(DataFrame.unionByName, [search(b) for b in blocks]))
