@@ -85,30 +85,32 @@ def tag_copies(expected: DataFrame, observed: DataFrame, columns: Sequence[str])
 def checksum_cells(
     entries: DataFrame, keys: Sequence[str], fields: Sequence[Field], order: str, buckets: int
 ) -> DataFrame:
-    """The unequal cells of the matrix: (bucket, mask); bit i of mask is set if field i is unequal,
-    bit len(fields) if the keys are."""
+    """The unequal cells of the matrix: (bucket, mask, tied); bit i of mask is set if field i is unequal,
+    bit len(fields) if the keys are; tied tells whether different entries share a greatest order."""
     key = [F.col(f"k{i}") for i in range(len(keys))]
+    prints = [f.print() for f in fields]
+    whole = fingerprint(*prints)
     newest = (
         entries.select(
-            *[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)],
-            "side",
-            *[F.struct(F.col(f"`{order}`").alias("o"), f.print().alias("p")).alias(f"m{i}") for i, f in enumerate(fields)],
+            *[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], "side",
+            F.struct(F.col(f"`{order}`").alias("o"), whole.alias("r"), *[x.alias(f"p{i}") for i, x in enumerate(prints)]).alias("m"),
+            F.struct(F.col(f"`{order}`").alias("o"), F.bitwise_not(whole).alias("r")).alias("other"),
         )
         .groupBy(*key, "side")
-        .agg(*[F.max(f"m{i}").alias(f"m{i}") for i in range(len(fields))])
-    )
+        .agg(F.max("m").alias("m"), F.max("other").alias("other"))
+    )
     row = fingerprint(*key)
     lanes = [[F.col("side") * x for x in _lanes(F.lit(-1), row)]]
-    lanes += [[F.col("side") * x for x in _lanes(F.lit(i), row, F.col(f"m{i}.p"))] for i in range(len(fields))]
+    lanes += [[F.col("side") * x for x in _lanes(F.lit(i), row, F.col(f"m.p{i}"))] for i in range(len(fields))]
     matrix = newest.groupBy(F.pmod(row, F.lit(buckets)).alias("bucket")).agg(
-        *[F.sum(x).alias(f"c{i}_{j}") for i, four in enumerate(lanes) for j, x in enumerate(four)]
+        *[F.sum(x).alias(f"c{i}_{j}") for i, four in enumerate(lanes) for j, x in enumerate(four)], F.max(F.col("m.r") != F.bitwise_not(F.col("other.r"))).alias("tied")
     )
     unequal = [
         F.when(reduce(lambda a, b: a | b, [F.col(f"c{i}_{j}") != 0 for j in range(4)]), F.lit(1 << ((i - 1) % (len(fields) + 1)))).otherwise(F.lit(0))
         for i in range(len(fields) + 1)
     ]
     mask = reduce(lambda a, b: a.bitwiseOR(b), unequal)
-    return matrix.select("bucket", mask.alias("mask")).where("mask <> 0")
+    return matrix.select("bucket", mask.alias("mask"), "tied").where("mask <> 0")
 
 
 def diff_copies(
@@ -121,8 +123,9 @@ def diff_copies(
     """Rows (keys..., field_name) for each key that one copy lacks or whose field values differ.
 
     ``entries`` has a column ``side``: 1 for the expected copy, -1 for the observed one. Per key and
-    side only the entry with the greatest ``order`` counts; should several share it, each field takes
-    the one with the greatest fingerprint, so that the result doesn't depend on the partitioning.
+    side only the entry with the greatest ``order`` counts; should different ones share it, the one whose
+    fingerprint over all fields is the greatest, as a whole, so that the result doesn't depend on the
+    partitioning. (Only then all fields are read again to tell it.)
     field_name is ``missing_observed``, ``missing_expected`` or the field's name. Null equals only
     null, in keys too. Repeated rows change nothing; an empty table gives no rows; other columns are
     never read.
@@ -134,29 +137,22 @@ def diff_copies(
     entries = entries.where(F.col("side").isin(EXPECTED, OBSERVED))
     buckets = max(1, entries.select("side").count() // (2 * bucket_rows))
     cells = cut(checksum_cells(entries, keys, fields, order, buckets))
-    seen = cells.agg(F.bit_or("mask")).first()[0] or 0  # one number: the columns to read at all
+    seen, tied = cells.agg(F.coalesce(F.bit_or("mask"), F.lit(0)), F.coalesce(F.max("tied"), F.lit(False))).first()  # the columns to read at all
     used = [f for i, f in enumerate(fields) if seen >> i & 1]
 
     key = [F.col(f"k{i}") for i in range(len(keys))]
     bit = {f.name: 1 << i for i, f in enumerate(fields)}
     again = entries.select(
         *[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], "side", F.col(f"`{order}`").alias("o"),
+        (fingerprint(*[f.print() for f in fields]) if tied else F.lit(0)).alias("r"),
         F.pmod(fingerprint(*[F.col(f"`{k}`") for k in keys]), F.lit(buckets)).alias("bucket"),
-        *[F.struct(f.print().alias("p"), f.value().alias("v")).alias(f"f{i}") for i, f in enumerate(used)],
-    ).join(broadcast_if_small(cells), "bucket")
-    again = again.select(
-        *key, "side",
-        *[
-            F.when(F.col("mask").bitwiseAND(F.lit(bit[f.name])) != 0, F.struct("o", F.col(f"f{i}.p").alias("p"), F.col(f"f{i}.v").alias("v"))).alias(f"f{i}")
-            for i, f in enumerate(used)
-        ],
-    )
-    sides = {"e": EXPECTED, "o": OBSERVED}
-    both = again.groupBy(*key).agg(
-        *[F.max(F.when(F.col("side") == v, True)).alias(f"has_{s}") for s, v in sides.items()],
-        *[F.max(F.when(F.col("side") == v, F.col(f"f{i}"))).alias(f"{s}{i}") for s, v in sides.items() for i in range(len(used))],
-    )
-    found = F.when(F.col("has_o").isNull(), F.array(F.lit("missing_observed"))).when(F.col("has_e").isNull(), F.array(F.lit("missing_expected")))
+        *[f.value().alias(f"v{i}") for i, f in enumerate(used)],
+    ).join(broadcast_if_small(cells.select("bucket", "mask")), "bucket")
+    wanted = [F.when(F.col("mask").bitwiseAND(F.lit(bit[f.name])) != 0, F.struct(F.col(f"v{i}").alias("v"))).alias(f"f{i}") for i, f in enumerate(used)]
+    again = again.select(*key, "side", F.struct("o", "r", *wanted).alias("m"))
+    both = again.groupBy(*key).agg(*[F.max(F.when(F.col("side") == v, F.col("m"))).alias(s) for s, v in {"e": EXPECTED, "o": OBSERVED}.items()])
+    both = both.select(*key, F.col("e").isNotNull().alias("has_e"), F.col("o").isNotNull().alias("has_o"), *[F.col(f"{s}.f{i}").alias(f"{s}{i}") for s in "eo" for i in range(len(used))])
+    found = F.when(~F.col("has_o"), F.array(F.lit("missing_observed"))).when(~F.col("has_e"), F.array(F.lit("missing_expected")))
     named = [
         F.when((F.col(f"e{i}").isNotNull() | F.col(f"o{i}").isNotNull()) & f.differs(F.col(f"e{i}.v"), F.col(f"o{i}.v")), F.lit(f.name))
         for i, f in enumerate(used)
