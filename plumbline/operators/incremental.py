@@ -8,9 +8,15 @@ before leaves only an unreferenced folder; the next one starts from the same wat
 is skipped or repeated.
 
 Rows of commits below the watermark may still arrive: plans, snapshots, chunks, even the commit's own.
-So a run keeps a digest of all that its processed commits were replayed from, per namespace. Where the
-next run finds another one, it replays that namespace from its first commit and takes the place of all
+So a run keeps a digest of all that its processed commits were replayed from, per namespace. Of chunk rows
+it takes their number and their load times, so finding out reads no id and no hash. Where the next run
+finds another digest, it replays that namespace from its first commit and takes the place of all
 generations before.
+
+A run writes rows of the namespaces that it touches only: those with new commits, late rows or a new
+newest snapshot. The marks name, for each namespace, the generation that holds its state (``home``). Live
+generations are listed in the last commit; when there are COMPACT of them, a run copies what is valid
+into its own, so neither readers nor runs open more folders than that.
 """
 
 from __future__ import annotations
@@ -25,11 +31,18 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import pack_hash
 from plumbline.plans.snapshot import row_sums
-from plumbline.session import broadcast_if_small, cut
+from plumbline.session import broadcast_if_small, cut, small
 
 STATE = "namespace string, chunk_id string, hash binary"
-#: since: the generation from which on the namespace's ``repeated`` rows count.
-MARKS = "namespace string, sequence int, digest array<bigint>, since int"
+#: since: the generation from which on the namespace's ``repeated`` rows count. home: the generation of
+#: its pending and state rows. newest: a digest of its newest snapshot.
+MARKS = "namespace string, sequence int, digest array<bigint>, since int, home int, newest array<bigint>"
+ROWS = "namespace string, revision string, chunk_id string, hash binary, generation int"
+KINDS = ("repeated", "pending", "state")
+#: Live generations at most; more are copied into one.
+COMPACT = 16
+#: So many touched namespaces are named in the filter of the chunk scan, which prunes files and row groups.
+NAMED = 200
 
 
 class StaleRunError(RuntimeError):
@@ -45,13 +58,25 @@ class GenerationStore:
         self._Path = hadoop.Path
         self._fs = hadoop.FileSystem.get(self._Path(self.path).toUri(), spark._jsc.hadoopConfiguration())
 
-    def commits(self) -> list[tuple[int, dict]]:
-        """(number, content) of each commit in order: one small file per run."""
+    def _numbers(self) -> list[int]:
         folder = self._Path(f"{self.path}/commits")
         if not self._fs.exists(folder):
             return []
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(folder))
-        return [(int(n[:-5]), self._read(f"{self.path}/commits/{n}")) for n in names if n.endswith(".json") and n[:-5].isdigit()]
+        names = (f.getPath().getName() for f in self._fs.listStatus(folder))
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def commits(self, last: int | None = None) -> list[tuple[int, dict]]:
+        """(number, content) of each commit in order, or of the last ones: a small file each is read."""
+        numbers = self._numbers()
+        return [(n, self._read(f"{self.path}/commits/{n:010d}.json")) for n in (numbers if last is None else numbers[-last:])]
+
+    def last(self) -> tuple[int, dict] | None:
+        """The last commit; of the files only its own is read."""
+        found = self.commits(1)
+        return found[0] if found else None
+
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._Path(path))
 
     def new_folder(self) -> str:
         return f"{self.path}/runs/{uuid.uuid4().hex}"
@@ -103,12 +128,11 @@ class EmbeddingIncrement:
 
     def run(self, commits: DataFrame, plans: DataFrame, chunk_states: DataFrame, document_states: DataFrame) -> int:
         """One run; returns its commit's number."""
-        spark, done = self.spark, self.store.commits()
-        number = done[-1][0] + 1 if done else 1
+        spark, done = self.spark, self.store.last()
+        number, live = (done[0] + 1, done[1]["live"]) if done else (1, {})
         folder = self.store.new_folder()
-        last = done[-1][1]["folder"] if done else None
-        old = spark.read.schema(MARKS).parquet(f"{last}/marks") if last else spark.createDataFrame([], MARKS)
-        state = self._rows(last, "state").select("namespace", "chunk_id", "hash") if last else spark.createDataFrame([], STATE)
+        old = spark.read.schema(MARKS).parquet(f"{done[1]['folder']}/marks") if done else spark.createDataFrame([], MARKS)
+        old = cut(old)  # a row per namespace
 
         # The upper limit is fixed first, by writing it: commits that arrive during the run wait.
         upper = commits.groupBy("namespace").agg(F.max("sequence").alias("sequence"))
@@ -121,34 +145,57 @@ class EmbeddingIncrement:
         # Runs and snapshots are few; each list is made once, however many chunks they have.
         runs, snapshots = cut(runs), cut(document_states.select("namespace", "snapshot_no", "revision").distinct())
         marks = cut(self._marks(upper, old, runs, plans, chunk_states, snapshots, number))
-        marks.drop("_from").write.parquet(f"{folder}/marks")
-        todo = runs.join(marks.select("namespace", "_from"), "namespace").where("_from is null or sequence > _from").drop("_from")
-        state = state.join(broadcast_if_small(marks.where("_from is not null").select("namespace")), "namespace", "left_semi")
-        self._replay(todo, plans, chunk_states, snapshots, state).write.partitionBy("kind").parquet(f"{folder}/rows")
-        self.store.publish(number, {"folder": folder, "base": number - 1})
+        touched = marks.where("touched").select("namespace")
+        todo = runs.join(marks.where("touched").select("namespace", "_from"), "namespace").where("_from is null or sequence > _from").drop("_from")
+        carried = marks.where("touched and _from is not null").select("namespace")
+        state = self._valid(live, "state", old).join(broadcast_if_small(carried), "namespace", "left_semi").select("namespace", "chunk_id", "hash")
+        names = [r[0] for r in touched.limit(NAMED + 1).collect()]
+        chunks = chunk_states.where(F.col("namespace").isin(names)) if len(names) <= NAMED else chunk_states
+        rows = self._replay(todo, plans, chunks, snapshots.join(touched, "namespace", "left_semi"), state)
+        marks = marks.select("namespace", "sequence", "digest", "since", "home", "newest")
+        if len(live) >= COMPACT:
+            kept = {k: marks.where(F.col("home") != number) for k in KINDS} | {"repeated": marks.where(F.col("since") != number)}
+            for k, of in kept.items():
+                rows = rows.unionByName(self._valid(live, k, old).join(broadcast_if_small(of.select("namespace")), "namespace", "left_semi").withColumn("kind", F.lit(k)))
+            live, marks = {}, marks.withColumns({"since": F.lit(number), "home": F.lit(number)})
+        marks.write.parquet(f"{folder}/marks")
+        rows.withColumn("generation", F.lit(number)).write.partitionBy("kind").parquet(f"{folder}/rows")
+        self.store.publish(number, {"folder": folder, "base": number - 1, "live": {**live, str(number): folder}})
         return number
 
     def _marks(self, upper: DataFrame, old: DataFrame, runs: DataFrame, plans: DataFrame, chunk_states: DataFrame, snapshots: DataFrame, number: int) -> DataFrame:
-        """The new marks, with the sequence _from which on to replay: null for all of the namespace."""
+        """The new marks, with the sequence _from which on to replay (null for all of the namespace) and
+        whether the namespace is touched at all."""
         key = ["namespace", "base_revision", "revision"]
         asked = [F.xxhash64(F.lit(i), "embed_ids").alias(f"e{i}") for i in (1, 2)]
         steps = cut(plans.select(*key, "created_at", "plan_id", *asked).distinct().join(runs, key).join(snapshots, ["namespace", "revision"]))
-        used = broadcast_if_small(steps.select("namespace", "snapshot_no").distinct())
-        held = chunk_states.join(used, ["namespace", "snapshot_no"]).groupBy("namespace", "snapshot_no")
-        held = held.agg(F.array(*row_sums([F.col("chunk_id"), F.col("loaded_at"), F.col("embedding_hash")])).alias("held"))
+        ends = snapshots.groupBy("namespace").agg(F.max(F.struct("snapshot_no", "revision")).alias("n")).select("namespace", "n.*")
+        used = steps.select("namespace", "snapshot_no").union(ends.select("namespace", "snapshot_no")).distinct()
+        held = chunk_states.select("namespace", "snapshot_no", "loaded_at").join(small(used), ["namespace", "snapshot_no"]).groupBy("namespace", "snapshot_no")
+        held = cut(held.agg(F.array(F.count("*"), *row_sums([F.col("loaded_at")])).alias("held")))
         steps = cut(steps.join(held, ["namespace", "snapshot_no"], "left"))
 
         def digest(of: DataFrame, name: str) -> DataFrame:
             return of.groupBy("namespace").agg(F.array(*row_sums([F.col(c) for c in (*key[1:], "sequence", "created_at", "plan_id", "e1", "e2", "snapshot_no", "held")])).alias(name))
 
-        old = old.select("namespace", F.col("sequence").alias("_from"), F.col("digest").alias("_digest"), F.col("since").alias("_since"))
+        old = old.select("namespace", *(F.col(c).alias(n) for c, n in (("sequence", "_from"), ("digest", "_digest"), ("since", "_since"), ("home", "_home"), ("newest", "_newest"))))
         before = steps.join(old.select("namespace", "_from"), "namespace").where("sequence <= _from")
-        marks = upper.join(old, "namespace", "left").join(digest(before, "_now"), "namespace", "left").join(digest(steps, "digest"), "namespace", "left")
+        newest = ends.join(held, ["namespace", "snapshot_no"], "left").groupBy("namespace").agg(F.array(*row_sums([F.col("snapshot_no"), F.col("revision"), F.col("held")])).alias("newest"))
+        every = upper.select("namespace").union(snapshots.select("namespace")).where("namespace is not null").distinct()
+        marks = every.join(upper, "namespace", "left").join(old, "namespace", "left")
+        for part in (digest(before, "_now"), digest(steps, "digest"), newest):
+            marks = marks.join(part, "namespace", "left")
         none = F.array().cast("array<bigint>")
         same = F.coalesce("_now", none).eqNullSafe(F.col("_digest"))
-        marks = marks.withColumn("_from", F.when(same, F.col("_from")))
-        since = F.when(F.col("_from").isNull(), number).otherwise(F.col("_since"))
-        return marks.select("namespace", "sequence", F.coalesce("digest", none).alias("digest"), since.alias("since"), "_from")
+        marks = marks.withColumn("_known", F.col("_home").isNotNull()).withColumn("_from", F.when(same, F.col("_from")))
+        # A namespace without commits has no sequence; its look at the newest snapshot still counts.
+        again = ~F.coalesce(same, F.lit(False)) | ~F.col("_known")
+        now, was = F.coalesce("digest", none), F.coalesce("_digest", none)
+        touched = again | ~now.eqNullSafe(was) | ~F.col("newest").eqNullSafe(F.col("_newest"))
+        return marks.select(
+            "namespace", "sequence", now.alias("digest"), F.when(again, number).otherwise(F.col("_since")).alias("since"),
+            F.when(touched, number).otherwise(F.col("_home")).alias("home"), "newest", "_from", touched.alias("touched"),
+        )
 
     def _replay(self, todo: DataFrame, plans: DataFrame, chunk_states: DataFrame, snapshots: DataFrame, state: DataFrame) -> DataFrame:
         key = ["namespace", "base_revision", "revision", "created_at", "plan_id"]
@@ -200,18 +247,20 @@ class EmbeddingIncrement:
         )
         return rows.select("namespace", "revision", "chunk_id", after["hash"].alias("hash"), F.explode(kinds).alias("kind"))
 
-    def _rows(self, folder: str, kind: str) -> DataFrame:
-        schema = "namespace string, revision string, chunk_id string, hash binary, kind string"
-        return self.spark.read.schema(schema).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows").where(F.col("kind") == kind)
+    def _rows(self, live: dict[str, str], kind: str) -> DataFrame:
+        paths = [p for f in live.values() if self.store.exists(p := f"{f}/rows/kind={kind}")]
+        return self.spark.read.schema(ROWS).parquet(*paths) if paths else self.spark.createDataFrame([], ROWS)
+
+    def _valid(self, live: dict[str, str], kind: str, marks: DataFrame) -> DataFrame:
+        """The rows of a kind that count under these marks; without their generation."""
+        counts = F.col("generation") >= F.col("since") if kind == "repeated" else F.col("generation") == F.col("home")
+        return self._rows(live, kind).join(broadcast_if_small(marks.select("namespace", "since", "home")), "namespace").where(counts).select("namespace", "revision", "chunk_id", "hash")
 
     def work(self) -> DataFrame:
         """(namespace, revision, chunk_id, work_kind) over all committed runs; needs one at least."""
-        done = self.store.commits()
-        if not done:
+        done = self.store.last()
+        if done is None:
             raise ValueError("no run was committed yet")
-        last = done[-1][1]["folder"]
-        out, marks = self._rows(last, "pending"), self.spark.read.schema(MARKS).parquet(f"{last}/marks")
-        for number, c in done:
-            counts = marks.where(F.coalesce("since", F.lit(0)) <= number).select("namespace")
-            out = out.unionByName(self._rows(c["folder"], "repeated").join(broadcast_if_small(counts), "namespace", "left_semi").select(out.columns))
-        return out.select("namespace", "revision", "chunk_id", F.col("kind").alias("work_kind")).distinct()
+        marks = self.spark.read.schema(MARKS).parquet(f"{done[1]['folder']}/marks")
+        both = [self._valid(done[1]["live"], k, marks).select("namespace", "revision", "chunk_id", F.lit(k).alias("work_kind")) for k in ("pending", "repeated")]
+        return both[0].unionByName(both[1]).distinct()

@@ -35,10 +35,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which a query's shuffle files go when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage with a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute df once and cut its lineage with a reliable checkpoint.
+
+    What was shuffled for it is of no use afterwards and is removed at once, not when the driver happens
+    to collect its garbage, which may be after the disk is full.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # the setting counts for DataFrames made under it
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def drop_shuffles(spark: SparkSession) -> None:
