@@ -10,11 +10,10 @@ import json
 import sys
 from typing import Any
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from plumbline.operators.chunks import ChunkPolicy, audit_chunks
-from plumbline.operators.export_audit import audit_index
 from plumbline.operators.ingestion import AcceptancePolicy, audit_ingestion
 from plumbline.operators.reports import by_code, render, verdict
 from plumbline.operators.vectors import audit_embeddings
@@ -22,6 +21,7 @@ from plumbline.plans.ledger import Ledger
 from plumbline.plans.planning import Guards, plan_update
 from plumbline.plans.snapshot import UnsafePlanError, build_snapshot, load_snapshot, save_snapshot
 from plumbline.sources import files, records
+from plumbline.sources.existing import audit_existing_index
 
 COMMANDS = ("check", "chunks", "ingestion", "embeddings", "plan", "existing-index", "ledger")
 
@@ -98,8 +98,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     if args.command == "embeddings":
         with open(args.file, encoding="utf-8") as f:
             o = json.load(f)
-        rows = [(i, e.get("chunk_id"), [float(x) for x in e["vector"]] if isinstance(e.get("vector"), list) else None) for i, e in enumerate(o["embeddings"])]
-        e = spark.createDataFrame(rows, "embedding_index bigint, chunk_id string, vector array<double>")
+        e = records.embeddings_from_records(spark, o["embeddings"])
         ids = spark.createDataFrame([(i,) for i in o["expected_chunk_ids"]], "chunk_id string")
         found = audit_embeddings(ids, e, o["dimensions"], norm_range=tuple(o["norm_range"]) if o.get("norm_range") else None)
         v = verdict(found)
@@ -116,15 +115,11 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         print(json.dumps(plan.metrics(), sort_keys=True))
         return 0
     if args.command == "existing-index":
-        tree = files.walk(spark, args.folder, (*files.TEXT, ".pdf"))
-        read = files.read_units(tree.paths)
-        own = read.where("reason is null").groupBy("source").agg({"source_version": "max", "unit": "collect_set"}).toDF("source", "hash", "units")
-        ok = tree.complete and read.where("reason is not null").isEmpty()
-        a = audit_index(records.read_export(spark, args.export), own, ok, args.export_complete, args.source_scope_complete, args.unit_metadata_complete)
+        a = audit_existing_index(spark, args.folder, args.export, args.export_complete, args.source_scope_complete, args.unit_metadata_complete)
         v = verdict(a.findings)
         _show(args, f"{v.errors} errors, {v.warnings} warnings", a.findings, v.passed, {**a.measurements, "checks_unverified": a.unverified})
         return 0 if v.passed else 1
-    ledger = Ledger(spark, args.path)
+    ledger = Ledger(spark, args.path, read_only=True)
     rows = (ledger.deletion_summary(args.last) if args.what == "summary" else ledger.history(args.last)).collect()  # at most --last rows
     print(json.dumps([r.asDict() for r in rows], sort_keys=True))
     return 0
@@ -138,7 +133,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("plumbline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
         return run(args, spark)
-    except (OSError, ValueError, KeyError, AnalysisException) as e:
+    except (OSError, ValueError, KeyError, PySparkException) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
 

@@ -57,9 +57,14 @@ def finding(
     )
 
 
-def emit(df: DataFrame, found: Sequence[Column]) -> DataFrame:
-    """The findings of a row: each column is a finding struct, an array of them, or null."""
-    return df.select(F.explode(F.array_compact(F.array(*found))).alias("f")).select("f.*")
+def emit(df: DataFrame, found: Sequence[Column], keep: Sequence[str] = ()) -> DataFrame:
+    """The findings of a row, each column a finding struct or null, after the columns to keep."""
+    return df.select(*keep, F.explode(F.array_compact(F.array(*found))).alias("_f")).select(*keep, "_f.*")
+
+
+def ordered(findings: DataFrame) -> DataFrame:
+    """Findings in report order: by chunk, those of none first, then code, document and message."""
+    return findings.orderBy(F.col("chunk_index").asc_nulls_first(), "code", "document_id", "message")
 
 
 def none(spark: SparkSession) -> DataFrame:

@@ -88,8 +88,12 @@ def save(baseline: DataFrame, path: str) -> None:
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """A saved baseline: one scope, one known mode, well-formed fingerprints; anything else raises."""
+    """A saved baseline: one scope, one known mode, well-formed fingerprints; anything else raises.
+
+    Baselines of the first format have no mode; they are strict."""
     b = spark.read.parquet(path)
+    if set(b.columns) == {"scope", "fingerprint", "cnt"}:
+        b = b.withColumn("mode", F.lit("strict"))
     if set(b.columns) != {"scope", "mode", "fingerprint", "cnt"}:
         raise ValueError("not a baseline")
     bad = ~is_hash(F.col("fingerprint")) | ~F.col("mode").isin(*MODES) | (F.trim("scope") == "") | (F.col("cnt") < 1)

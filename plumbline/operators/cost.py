@@ -34,6 +34,13 @@ def token_sums(embed_ids: DataFrame, counts: DataFrame, comparison_ids: DataFram
     )
 
 
+def priced(sums: DataFrame, price_per_million: str) -> DataFrame:
+    """token_sums with exact decimal costs: cost of the tokens, avoided that of the tokens not embedded."""
+    price, million = F.lit(price_per_million).cast("decimal(18,8)"), F.lit(1_000_000).cast("decimal(7,0)")
+    cost = lambda n: (n.cast("decimal(18,0)") * price / million).cast("decimal(38,14)")
+    return sums.withColumns({"cost": cost(F.col("tokens")), "avoided": cost(F.col("baseline_tokens") - F.col("tokens"))})
+
+
 def estimate_cost(embed_ids: DataFrame, counts: DataFrame, price_per_million: object, currency: str, comparison_ids: DataFrame | None = None) -> CostEstimate:
     """Exact decimal cost; every id needs a token count, and a comparison must hold all embedded ids."""
     try:

@@ -12,6 +12,7 @@ from plumbline.functions import text as T
 from plumbline.functions.units import suffix
 from plumbline.session import small
 
+# The source types of an index audit.
 SUPPORTED = (".txt", ".md", ".rst", ".pdf")
 
 

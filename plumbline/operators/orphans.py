@@ -53,21 +53,22 @@ def delivered(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("namespace", "snapshot_no").agg(F.max("delivered_at").alias("delivered_at")).where("delivered_at is not null")
 
 
-def as_of(refs: DataFrame, snapshots: DataFrame, time: str) -> DataFrame:
+def as_of(refs: DataFrame, snapshots: DataFrame, time: str, unit: str = "week") -> DataFrame:
     """Adds (snapshot_no, at): the last snapshot of the row's namespace delivered at or before its time.
 
-    For each namespace and day of a reference one small window carries the last snapshot before that day;
-    a row then meets it and the day's own snapshots by an equality join. So nothing grows with both
-    references and snapshots, and a namespace with a third of all references is no single task's.
+    For each namespace and week of a reference (or another unit of date_trunc) one small window carries
+    the last snapshot before that week; a row then meets it and the week's own snapshots by an equality
+    join. So nothing grows with both references and snapshots, and a namespace with a third of all
+    references is no single task's.
     """
-    day = F.to_date(F.col(time))
+    day = F.date_trunc(unit, F.col(time)).cast("date")
     days = refs.select("namespace", day.alias("day")).distinct()
     s = snapshots.select("namespace", F.struct("delivered_at", "snapshot_no").alias("s"))
     line = days.select("namespace", "day", F.col("day").cast("timestamp_ntz").alias("t"), F.lit(None).cast(dict(s.dtypes)["s"]).alias("s"))
     line = line.unionByName(s.select("namespace", F.lit(None).cast("date").alias("day"), F.col("s.delivered_at").cast("timestamp_ntz").alias("t"), "s"))
     before = F.last("s", ignorenulls=True).over(W.partitionBy("namespace").orderBy("t", F.col("day").isNull()).rowsBetween(W.unboundedPreceding, 0))
     carried = line.withColumn("before", before).where("day is not null").select("namespace", "day", "before")
-    own = s.groupBy("namespace", F.to_date("s.delivered_at").alias("day")).agg(F.collect_list("s").alias("own"))
+    own = s.groupBy("namespace", F.date_trunc(unit, "s.delivered_at").cast("date").alias("day")).agg(F.collect_list("s").alias("own"))
     known = carried.join(own, ["namespace", "day"], "left").select(
         "namespace", F.col("day").alias("_day"), F.concat(F.array_compact(F.array("before")), F.coalesce("own", F.array().cast(dict(own.dtypes)["own"]))).alias("_line")
     )

@@ -46,6 +46,25 @@ def examples(findings: DataFrame, order: Column, example: Column, max_examples:
     return n.join(top, ["code", "severity"], "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
 
 
+# The states of a reviewed claim.
+REVIEW_STATES = ("reviewed", "unreviewed", "not_applicable")
+
+
+def review_summary(claims: DataFrame) -> DataFrame:
+    """(scenario, status, reviewed_checks, unreviewed_checks, not_applicable_checks) of claims (scenario,
+    state), a row per scenario and one with a null scenario for all. A state that isn't one of
+    REVIEW_STATES makes the status ``unknown``; claims without scenario count in the total only."""
+    n = {s: F.count_if(F.col("state") == s) for s in REVIEW_STATES}
+    odd = F.count_if(~F.coalesce(F.col("state").isin(*REVIEW_STATES), F.lit(False)))
+    status = (
+        F.when(odd > 0, "unknown").when(n["reviewed"] + n["unreviewed"] == 0, "not_applicable")
+        .when(n["unreviewed"] == 0, "reviewed").when(n["reviewed"] == 0, "unreviewed").otherwise("partial")
+    )
+    cols = [status.alias("status"), *[n[s].alias(f"{s}_checks") for s in REVIEW_STATES]]
+    of_all = claims.agg(*cols).select(F.lit(None).cast("string").alias("scenario"), "status", *[f"{s}_checks" for s in REVIEW_STATES])
+    return claims.where("scenario is not null").groupBy("scenario").agg(*cols).unionByName(of_all)
+
+
 @dataclass(frozen=True)
 class Verdict:
     """errors, warnings and whether they pass: no error, and no more warnings than allowed."""

@@ -24,7 +24,8 @@ def audit_embeddings(
     """Findings about embeddings (embedding_index, chunk_id, vector) against the expected chunk_id's.
 
     embedding_index orders them: of several with one id, or several equal vectors, the first is the
-    original. Null vectors are invalid. A zero vector can also be a duplicate, one of another length
+    original. A record that isn't a mapping has is_record false, where there is such a column, and no
+    other finding. Null vectors are invalid. A zero vector can also be a duplicate, one of another length
     can't. Vectors meet by their digest, with map-side combination, never as arrays in a shuffle.
     """
     if type(dimensions) is not int or dimensions < 1:
@@ -32,6 +33,10 @@ def audit_embeddings(
     if norm_range is not None and not 0 <= norm_range[0] <= norm_range[1] < float("inf"):
         raise ValueError("norm_range must be finite bounds 0 <= min <= max")
     ids = expected.select("chunk_id").where("chunk_id is not null").distinct().withColumn("known", F.lit(True))
+    parts = []
+    if "is_record" in embeddings.columns:
+        bad = F.when(~F.coalesce("is_record", F.lit(True)), finding("invalid_embedding", message="Embedding record is not a mapping.", chunk_index=F.col("embedding_index")))
+        parts, embeddings = [emit(embeddings, [bad])], embeddings.where(F.coalesce("is_record", F.lit(True)))
     raw = embeddings.select(F.col("embedding_index").cast("bigint").alias("chunk_index"), "chunk_id", V.doubles(F.col("vector")).alias("v"))
     v = F.col("v")
     fine = F.coalesce(V.finite(v), F.lit(False))
@@ -53,7 +58,7 @@ def audit_embeddings(
     if norm_range is not None:
         off = F.col("fine") & ~F.col("size").between(*map(float, norm_range))
         found.append(F.when(off, finding("embedding_norm_outlier", message=F.concat(F.lit("Norm out of range: "), F.round("size", 6).cast("string")), **at)))
-    parts = [emit(e, found)]
+    parts.append(emit(e, found))
 
     known = e.where("known")
     first = known.groupBy("chunk_id").agg(F.min("chunk_index").alias("first"), F.count("*").alias("n"))
@@ -114,3 +119,10 @@ def payload_mismatches(expected: DataFrame, stored: DataFrame) -> DataFrame:
         F.when(both & V.beyond_tolerance(F.col("a.vector"), F.col("b.vector")), "vector_mismatch"),
     )
     return a.join(b, "chunk_id", "full").select("chunk_id", F.explode(F.array_compact(labels)).alias("label"))
+
+
+def lone_ids(expected: DataFrame, stored: DataFrame) -> DataFrame:
+    """(chunk_id, label) of ids that only one side has: missing_id or orphan_id."""
+    a, b = expected.select("chunk_id").distinct(), stored.select("chunk_id").distinct()
+    both = a.withColumn("e", F.lit(True)).join(b.withColumn("s", F.lit(True)), "chunk_id", "full")
+    return both.where("e is null or s is null").select("chunk_id", F.when(F.col("e").isNull(), "orphan_id").otherwise("missing_id").alias("label"))

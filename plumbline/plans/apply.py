@@ -14,18 +14,27 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.findings import emit, finding
+from plumbline.functions import canonical as C
 from plumbline.operators.cost import estimate_cost
 from plumbline.operators.incremental import GenerationStore
-from plumbline.operators.vectors import audit_embeddings, audit_provenance, payload_mismatches
+from plumbline.operators.vectors import lone_ids, payload_mismatches
 from plumbline.plans.index_store import PayloadStore
 from plumbline.plans.ledger import Ledger
-from plumbline.plans.planning import Guards, UpdatePlan
-from plumbline.plans.snapshot import Snapshot, UnsafePlanError
+from plumbline.plans.planning import Guards, UpdatePlan, audit_plan_embeddings
+from plumbline.plans.snapshot import InvalidBatchError, Snapshot, UnsafePlanError, build_snapshot
 
-Embedder = Callable[[list[str]], list[list[float]]]
 
+@dataclass(frozen=True)
+class Embedder:
+    """What makes vectors of texts, and how it calls itself. Its labels are declarations of the producer."""
+
+    embed: Callable[[list[str]], list[list[float]]]
+    model: str
+    pipeline: str
 
-def fake_embedder(dimensions: int = 8) -> Embedder:
+
+def fake_embedder(dimensions: int = 8, model: str = "fake-model", pipeline: str = "fake-pipeline") -> Embedder:
     """Unit vectors made from a hash of each text; for tests and dry runs."""
 
     def embed(texts: list[str]) -> list[list[float]]:
@@ -37,22 +46,28 @@ def fake_embedder(dimensions: int = 8) -> Embedder:
             out.append([x / n for x in v])
         return out
 
-    return embed
+    return Embedder(embed, model, pipeline)
+
+
+VECTORS = "chunk_id string, vector array<double>, input_hash string, embedding_model string, pipeline_id string"
 
 
 def embed_inputs(inputs: DataFrame, embedder: Embedder, batch: int = 16) -> DataFrame:
-    """(chunk_id, vector) of inputs (chunk_id, text), in requests of a bounded number of texts."""
+    """VECTORS of inputs (chunk_id, text), in requests of a bounded number of texts. input_hash is that of
+    the text that was sent."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for s in range(0, len(b), batch):
                 part = b.iloc[s : s + batch]
-                vectors = embedder(part["text"].tolist())
+                vectors = embedder.embed(part["text"].tolist())
                 if len(vectors) != len(part):
                     raise ValueError("the embedder returned another number of vectors")
-                yield pd.DataFrame({"chunk_id": part["chunk_id"].tolist(), "vector": vectors})
+                yield pd.DataFrame({"chunk_id": part["chunk_id"].tolist(), "vector": vectors, "input_hash": part["input_hash"].tolist()})
 
-    return inputs.select("chunk_id", "text").mapInPandas(run, "chunk_id string, vector array<double>")
+    sent = inputs.select("chunk_id", "text", C.text_hash(F.col("text")).alias("input_hash"))
+    made = sent.mapInPandas(run, ", ".join(VECTORS.split(", ")[:3]))
+    return made.withColumns({"embedding_model": F.lit(embedder.model), "pipeline_id": F.lit(embedder.pipeline)})
 
 
 @dataclass(frozen=True)
@@ -72,18 +87,16 @@ class GuardedIndex:
 
     def pending(self) -> dict | None:
         """The operation that was begun and not finished, if any."""
-        c = self.journal.commits()
-        return c[-1][1] if c and c[-1][1]["status"] == "begun" else None
+        c = self.journal.last()
+        return c[1] if c and c[1]["status"] == "begun" else None
 
     def _log(self, content: dict) -> None:
-        c = self.journal.commits()
-        self.journal.publish(c[-1][0] + 1 if c else 1, content)
+        c = self.journal.last()
+        self.journal.publish(c[0] + 1 if c else 1, content)
 
     def check(self) -> DataFrame:
         """Ids that only the ledger or only the store has."""
-        a, b = self.ledger.chunk_ids(), self.payloads.ids()
-        lost = a.join(b, "chunk_id", "left_anti").select("chunk_id", F.lit("missing_id").alias("label"))
-        return lost.unionByName(b.join(a, "chunk_id", "left_anti").select("chunk_id", F.lit("orphan_id").alias("label")))
+        return lone_ids(self.ledger.chunk_ids(), self.payloads.ids())
 
     def plan(self, candidate: Snapshot, guards: Guards | None = None) -> UpdatePlan:
         if self.pending() is not None:
@@ -124,25 +137,23 @@ class GuardedIndex:
 
     def _vectors(self, folder: str) -> DataFrame:
         path = self.journal._Path(f"{folder}/vectors")
-        schema = "chunk_id string, vector array<double>"
-        return self.spark.read.schema(schema).parquet(f"{folder}/vectors") if self.journal._fs.exists(path) else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(VECTORS).parquet(f"{folder}/vectors") if self.journal._fs.exists(path) else self.spark.createDataFrame([], VECTORS)
 
     def _finish(self, plan: UpdatePlan, folder: str, embedder: Embedder) -> str:
         inputs = self.spark.read.parquet(f"{folder}/inputs")
         todo = inputs.join(plan.embed_ids(), "chunk_id", "left_semi").join(self._vectors(folder), "chunk_id", "left_anti")
         embed_inputs(todo, embedder).write.mode("append").parquet(f"{folder}/vectors")
         new = self._vectors(folder)
-        states = plan.target.chunks
-        audited = new.join(states.select("chunk_id", F.col("text_hash").alias("input_hash")), "chunk_id").select(
-            F.xxhash64("chunk_id").alias("embedding_index"), "chunk_id", "vector", F.lit(plan.target.embedding_model).alias("embedding_model"), F.lit(plan.target.pipeline_id).alias("pipeline_id"), "input_hash"
-        )
-        bad = audit_embeddings(plan.embed_ids(), audited, self.dimensions).unionByName(audit_provenance(states, audited, plan.target.embedding_model, plan.target.pipeline_id))
+        bad = audit_plan_embeddings(plan, new.withColumn("embedding_index", F.xxhash64("chunk_id")), self.dimensions)
+        # Payloads that keep their vectors bring their texts along; these must be the planned ones, too.
+        other = inputs.join(plan.target.chunks, "chunk_id").where(~C.text_hash(F.col("text")).eqNullSafe(F.col("text_hash")))
+        bad = bad.unionByName(emit(other, [finding("embedding_provenance_mismatch", message="The payload's text is not the planned one.", document_id=F.col("document_id"), chunk_key=F.col("chunk_key"))]))
         row = bad.where("severity = 'error'").select("code").first()
         if row is not None:
             raise UnsafePlanError(f"the vectors fail their audit: {row[0]}")
         # A chunk whose metadata alone changed keeps its vector.
         prior = self.payloads.rows().select("chunk_id", F.col("vector").alias("old"))
-        upserts = inputs.join(new, "chunk_id", "left").join(prior, "chunk_id", "left").select("chunk_id", "text", "metadata", F.coalesce("vector", "old").alias("vector"))
+        upserts = inputs.join(new.select("chunk_id", "vector"), "chunk_id", "left").join(prior, "chunk_id", "left").select("chunk_id", "text", "metadata", F.coalesce("vector", "old").alias("vector"))
         upserts.write.mode("overwrite").parquet(f"{folder}/upserts")
         upserts = self.spark.read.parquet(f"{folder}/upserts")
         self.payloads.upsert(upserts)
@@ -157,3 +168,40 @@ class GuardedIndex:
             raise UnsafePlanError(f"ledger and store disagree: {wrong.label}")
         self._log({**op, "status": "done", "revision": revision})
         return revision
+
+
+def compare_omission(index: GuardedIndex, documents: DataFrame, receipts: DataFrame, chunks: DataFrame, document_id: str, unit: str, clone_path: str) -> dict:
+    """What the loss of one unit of one document does to an index, without guards and with them.
+
+    On a copy of the store the ids that a re-extraction without the unit no longer names are deleted, as
+    a naive replacement would. The guarded way is given the same batch with the unit's failure in its
+    receipt; it must refuse it and leave the index as it is. The result counts both.
+    """
+    spark, ledger = index.spark, index.ledger
+    if index.pending() is not None or not index.check().isEmpty() or ledger.revision() is None:
+        raise UnsafePlanError("the index must be complete and nothing pending")
+    now, lost = ledger.current(), F.array_contains("units", unit)
+    rest = chunks.where(~((F.col("document_id") == document_id) & F.coalesce(lost, F.lit(False))))
+    named = rest.where(F.col("document_id") == document_id).select(C.chunk_id(F.lit(now.namespace), F.col("document_id"), F.col("chunk_key")).alias("chunk_id"))
+    gone = now.chunks.where(F.col("document_id") == document_id).select("chunk_id").join(named, "chunk_id", "left_anti")
+    removed = gone.count()
+    if not removed:
+        raise ValueError("the unit holds nothing that the index has")
+    clone = PayloadStore(spark, clone_path)
+    clone.upsert(index.payloads.rows())
+    clone.delete(gone)
+
+    hit = (F.col("document_id") == document_id) & F.array_contains("processed_units", unit)
+    failed = receipts.withColumns({
+        "processed_units": F.when(hit, F.array_remove("processed_units", unit)).otherwise(F.col("processed_units")),
+        "failed_units": F.when(hit, F.array_union(F.coalesce("failed_units", F.array().cast("array<string>")), F.array(F.lit(unit)))).otherwise(F.col("failed_units")),
+    })
+    before = ledger.revision()
+    try:
+        build_snapshot(documents, failed, rest, now.namespace, now.pipeline_id, now.embedding_model)
+    except InvalidBatchError as e:
+        codes = e.codes
+    else:
+        raise UnsafePlanError("the guarded way accepted a batch with a failed unit")
+    kept = ledger.revision() == before and index.check().isEmpty()
+    return {"naive_candidate_ids": named.distinct().count(), "naive_removed_ids": removed, "naive_remaining_ids": clone.ids().count(), "guarded_codes": codes, "guarded_index_preserved": kept}

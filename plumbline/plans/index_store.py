@@ -22,8 +22,8 @@ class PayloadStore:
         self.spark, self.store = spark, GenerationStore(spark, path)
 
     def rows(self) -> DataFrame:
-        c = self.store.commits()
-        return self.spark.read.schema(PAYLOAD).parquet(c[-1][1]["folder"]) if c else self.spark.createDataFrame([], PAYLOAD)
+        c = self.store.last()
+        return self.spark.read.schema(PAYLOAD).parquet(c[1]["folder"]) if c else self.spark.createDataFrame([], PAYLOAD)
 
     def ids(self) -> DataFrame:
         return self.rows().select("chunk_id")
@@ -44,18 +44,23 @@ class PayloadStore:
         return nearest(queries, self.rows().select(F.col("chunk_id").alias("id"), "vector"), k)
 
     def _replace(self, rows: DataFrame) -> None:
-        c = self.store.commits()
+        c = self.store.last()
         folder = self.store.new_folder()
         rows.write.parquet(folder)
-        self.store.publish(c[-1][0] + 1 if c else 1, {"folder": folder})
-
-
-def project_metadata(chunks: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
-    """The metadata that goes into the store: identity, versions, source and units, and fixed tags."""
-    keys = [c for c in ("namespace", "document_id", "chunk_key", "source_version", "source") if c in chunks.columns]
-    pairs = [x for k in keys for x in (F.lit(k), F.col(k))]
-    if "units" in chunks.columns:
-        pairs += [F.lit("units"), F.to_json("units")]
-    for k, v in sorted((extra or {}).items()):
-        pairs += [F.lit(k), F.lit(v)]
-    return chunks.withColumn("metadata", F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()))
+        self.store.publish(c[0] + 1 if c else 1, {"folder": folder})
+
+
+def project_metadata(chunks: DataFrame, embedding_model: str | None = None, pipeline_id: str | None = None, extra: dict[str, str] | None = None) -> DataFrame:
+    """Adds the metadata that goes into the store. Its keys.
+
+    chunks: document_id and any of namespace, chunk_key, source_version, units. Null values have no key.
+    """
+    have = lambda c: F.col(c) if c in chunks.columns else F.lit(None).cast("string")
+    units = F.to_json("units") if "units" in chunks.columns else F.lit(None).cast("string")
+    values = {
+        "source_id": have("document_id"), "source_version": have("source_version"), "units_json": units, "chunk_key": have("chunk_key"),
+        "namespace": have("namespace"), "embedding_model": F.lit(embedding_model), "pipeline_id": F.lit(pipeline_id),
+    }
+    values |= {k: F.lit(v) for k, v in sorted((extra or {}).items())}
+    pairs = F.map_from_arrays(F.array(*[F.lit(k) for k in values]), F.array(*[v.cast("string") for v in values.values()]))
+    return chunks.withColumn("metadata", F.map_filter(pairs, lambda _, v: v.isNotNull()))

@@ -7,16 +7,19 @@ import json
 from datetime import datetime, timezone
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.checks import check, optional, whole
 from plumbline.findings import emit, finding, none
 from plumbline.operators.incremental import GenerationStore, StaleRunError
 from plumbline.plans.planning import Guards, UpdatePlan, plan_update
 from plumbline.plans.snapshot import CHUNK_COLUMNS, Snapshot, UnsafePlanError, verify_snapshot
 
 FORMAT = 2
+# The columns of the history and of its summary.
 HISTORY = (
     "sequence int, committed_at string, base_revision string, revision string, before_chunks bigint, after_chunks bigint, added_chunks bigint,"
     " removed_chunks bigint, ordinary_removed_chunks bigint, allowance_removed_chunks bigint, retirement_removed_chunks bigint, policy string"
@@ -24,7 +27,14 @@ HISTORY = (
 CATEGORIES = ("ordinary_removed_chunks", "allowance_removed_chunks", "retirement_removed_chunks")
 
 
-def deletion_summaries(history: DataFrame, last_commits: int = 10) -> DataFrame:
+def last_commits(history: DataFrame, n: int) -> DataFrame:
+    """The last commits of each namespace; repeated rows count once, partial limits run before the shuffle."""
+    check({"last_commits": n}, last_commits=whole(1))
+    newest = F.row_number().over(W.partitionBy("namespace").orderBy(F.desc("sequence")))
+    return history.distinct().withColumn("_rank", newest).where(F.col("_rank") <= n).drop("_rank")
+
+
+def deletion_summaries(history: DataFrame, commits: int = 10) -> DataFrame:
     """A row of measurements over the last commits of each namespace (columns of HISTORY).
 
     If the window starts with an empty inventory and holds the first population besides later commits,
@@ -32,12 +42,9 @@ def deletion_summaries(history: DataFrame, last_commits: int = 10) -> DataFrame:
     where a commit lacks it. Repeated rows count once. The window's partial limit keeps the last
     commits of each namespace before the shuffle.
     """
-    if type(last_commits) is not int or last_commits < 1:
-        raise ValueError("last_commits must be a positive integer")
     h = history.select("namespace", "sequence", "before_chunks", "after_chunks", "added_chunks", "removed_chunks", *CATEGORIES).distinct()
     first = h.where("after_chunks > 0").groupBy("namespace").agg(F.min(F.struct("sequence", "before_chunks")).alias("first"))
-    newest = F.row_number().over(W.partitionBy("namespace").orderBy(F.desc("sequence")))
-    last = h.withColumn("rn", newest).where(F.col("rn") <= last_commits)
+    last = last_commits(h, commits)
     ends = last.groupBy("namespace").agg(F.min(F.struct("sequence", "before_chunks")).alias("oldest"), F.max("sequence").alias("newest"))
     prefix = (
         (F.col("oldest.before_chunks") == 0) & (F.col("first.before_chunks") == 0)
@@ -53,7 +60,7 @@ def deletion_summaries(history: DataFrame, last_commits: int = 10) -> DataFrame:
         F.coalesce(F.sum(F.when(kept, F.col("removed_chunks"))), F.lit(0)).alias("chunks_removed"),
         *[total(c).alias(c) for c in CATEGORIES],
     )
-    return _measured(row, last_commits)
+    return _measured(row, commits)
 
 
 def _measured(row: DataFrame, last_commits: int) -> DataFrame:
@@ -76,17 +83,30 @@ class Ledger:
     written in order of document_id, so a lookup of some documents prunes files and row groups.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.store = spark, GenerationStore(spark, path)
+    def __init__(self, spark: SparkSession, path: str, read_only: bool = False) -> None:
+        self.spark, self.store, self.read_only = spark, GenerationStore(spark, path), read_only
+        if not read_only:
+            self._upgrade()
 
     def _state(self) -> tuple[int, dict] | None:
-        commits = self.store.commits()
-        if not commits:
-            return None
-        number, state = commits[-1]
-        if state.get("format_version") not in (1, FORMAT):
-            raise ValueError("unsupported ledger format")
-        return number, state
+        found = self.store.last()
+        if found is not None and found[1].get("format_version") != FORMAT:
+            old = found[1].get("format_version") == FORMAT - 1
+            raise ValueError("the ledger must be upgraded: open it for writing" if old else "unsupported ledger format")
+        return found
+
+    def _upgrade(self) -> None:
+        """A ledger of the format before, which kept no history, gets a commit of this one: its inventory
+        and revision stay, its history starts here and isn't complete."""
+        found = self.store.last()
+        if found is None or found[1].get("format_version") != FORMAT - 1:
+            return
+        number, state = found
+        chunks = self.spark.read.parquet(f"{state['folder']}/documents").agg(F.coalesce(F.sum("chunk_count"), F.lit(0))).first()[0]
+        try:
+            self.store.publish(number + 1, {**state, "format_version": FORMAT, "history": None, "history_complete": False, "baseline_chunks": chunks})
+        except StaleRunError:
+            pass  # another one upgraded it
 
     def revision(self) -> str | None:
         s = self._state()
@@ -124,9 +144,9 @@ class Ledger:
 
     def history(self, limit: int | None = None) -> DataFrame:
         """Newest first; one small row per commit, read from the commit files."""
-        if limit is not None and (type(limit) is not int or limit < 1):
-            raise ValueError("the limit must be a positive integer")
-        rows = [c["history"] for _, c in reversed(self.store.commits()) if c.get("history")]
+        check({"limit": limit}, limit=optional(whole(1)))
+        # At most two commits hold no history: the upgrade's and the one before it.
+        rows = [c["history"] for _, c in reversed(self.store.commits(None if limit is None else limit + 2)) if c.get("history")]
         names = [x.split()[0] for x in HISTORY.split(", ")]
         return self.spark.createDataFrame([tuple(r[n] for n in names) for r in rows[:limit]], HISTORY)
 
@@ -156,6 +176,8 @@ class Ledger:
 
     def commit(self, plan: UpdatePlan, committed_at: str | None = None) -> str:
         """Publish the plan's target if the base is still current; a plan that changes nothing writes nothing."""
+        if self.read_only:
+            raise UnsafePlanError("the ledger is open for reading only")
         s, now = self._state(), self.current()
         if (s[1]["revision"] if s else None) != plan.base_revision:
             raise UnsafePlanError("stale plan: the ledger has changed")
@@ -171,7 +193,7 @@ class Ledger:
         if now is not None:
             docs = docs.unionByName(now.documents.join(touched, "document_id", "left_anti").select("document_id", "source_version"))
             chunks = chunks.unionByName(now.chunks.join(touched, "document_id", "left_anti").select(*CHUNK_COLUMNS))
-        chunks.repartitionByRange("document_id").sortWithinPartitions("document_id").write.parquet(f"{folder}/chunks")
+        chunks.repartitionByRange("document_id", "chunk_id").sortWithinPartitions("document_id").write.parquet(f"{folder}/chunks")
         chunks = self.spark.read.parquet(f"{folder}/chunks")
         n = chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"))
         docs.join(n, "document_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0))).write.parquet(f"{folder}/documents")
@@ -187,7 +209,7 @@ class Ledger:
         content = {
             "format_version": FORMAT, "namespace": plan.target.namespace, "pipeline_id": plan.target.pipeline_id, "embedding_model": plan.target.embedding_model,
             "revision": revision, "folder": folder, "history": history,
-            "history_complete": s[1].get("history_complete", False) if s else True, "baseline_chunks": s[1].get("baseline_chunks", before) if s else 0,
+            "history_complete": s[1]["history_complete"] if s else True, "baseline_chunks": s[1]["baseline_chunks"] if s else 0,
         }
         try:
             self.store.publish(number, content)
@@ -200,7 +222,16 @@ class Ledger:
         s = self._state()
         if s is None:
             return none(self.spark)
-        now, one = self.current(), self.spark.range(1)
+        one = self.spark.range(1)
+        try:
+            now = self.current()
+        except PySparkException as e:
+            return emit(one, [finding("ledger_integrity", message=f"The stored tables can't be read: {type(e).__name__}.")])
+        for rows in (now.documents, now.chunks):
+            try:  # files that are gone or broken show when all their columns are read
+                rows.agg(F.bit_xor(F.xxhash64(*rows.columns))).collect()
+            except PySparkException as e:
+                return emit(one, [finding("ledger_integrity", message=f"The stored tables can't be read: {type(e).__name__}.")])
         text = [s[1].get(k) for k in ("namespace", "pipeline_id", "embedding_model")]
         rev = s[1].get("revision")
         bad = any(not isinstance(v, str) or not v.strip() for v in text) or not isinstance(rev, str) or len(rev) != 64 or set(rev) - set("0123456789abcdef")

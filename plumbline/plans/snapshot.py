@@ -20,7 +20,11 @@ class UnsafePlanError(ValueError):
 
 
 class InvalidBatchError(ValueError):
-    """The batch has errors, so it can't become a snapshot."""
+    """The batch has errors, so it can't become a snapshot; codes: those of its errors."""
+
+    def __init__(self, message: str, codes: tuple[str, ...] = ()) -> None:
+        super().__init__(message)
+        self.codes = codes
 
 
 def _named(**values: str) -> None:
@@ -88,7 +92,8 @@ def build_snapshot(
     audit = audit_ingestion(documents, receipts, chunks, policy, namespace)
     v = audit.verdict()
     if not v.passed:
-        raise InvalidBatchError(f"{v.errors} errors and {v.warnings} warnings")
+        codes = audit.findings.where("severity = 'error'").select("code").distinct().orderBy("code").collect()  # a row per code
+        raise InvalidBatchError(f"{v.errors} errors and {v.warnings} warnings", tuple(r[0] for r in codes))
     if not documents.where("expected_units is null").isEmpty():
         raise InvalidBatchError("the units of every document must be known")
     return Snapshot(namespace, pipeline_id, embedding_model, documents.select("document_id", "source_version"), chunk_states(chunks, namespace, embedding_model, pipeline_id))

@@ -15,9 +15,10 @@ from plumbline.functions import vectors as V
 from plumbline.operators import baseline as B
 from plumbline.operators import chunks as K
 from plumbline.operators import cost, export_audit, ingestion, orphans, reconcile, reports, runs, vectors
-from plumbline.plans.ledger import deletion_summaries
+from plumbline.plans.ledger import deletion_summaries, last_commits
 from plumbline.plans.planning import chunk_actions, removal_counts
 from plumbline.queries.problems import table
+from plumbline.sources.records import comparable_hash
 from plumbline.streaming.audit_stream import windowed_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,29 +117,27 @@ def repeated_boilerplate(spark, d):
 
 @query(_LINES + "SELECT line, count(*) AS chunks FROM c GROUP BY line")
 def boundary_line_counts(spark, d):
-    rows = K.valid_texts(K.chunk_table(document_chunks(spark, d)))
-    return rows.select(F.explode(T.boundary_lines(F.col("text"), 12)).alias("line")).groupBy("line").agg(F.count("*").alias("chunks"))
+    return K.boundary_line_counts(K.chunk_table(document_chunks(spark, d)))
 
 
-@query(r"""
-WITH t AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[\p{L}\p{N}]+')) AS terms FROM part),
-e AS (SELECT p_partkey, unnest(terms) AS term FROM t),
+_TERMS = r"""
+WITH e AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS term FROM documents
+  WHERE text IS NOT NULL AND @FILLED),
 df AS (SELECT term, count(*) AS n FROM e GROUP BY term)
-SELECT t.p_partkey AS chunk_index FROM t WHERE len(terms) >= 3 AND NOT EXISTS (
-  SELECT 1 FROM e JOIN df USING (term) WHERE e.p_partkey = t.p_partkey AND df.n / (SELECT count(*) FROM t) < 0.1)
+""".replace("@FILLED", f"{_STRIP.of('text')} <> ''")
+
+
+@query(_TERMS + f"""
+, n AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL AND {_STRIP.of('text')} <> '')
+SELECT doc_id AS chunk_index FROM e JOIN df USING (term) GROUP BY doc_id HAVING count(*) >= 3 AND min(df.n) / (SELECT n FROM n) >= 0.01
 """)
 def low_distinctiveness(spark, d):
-    parts = table(spark, d, "part").select(F.col("p_partkey").alias("chunk_index"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    return K.low_distinctiveness(K.chunk_table(parts), K.ChunkPolicy(distinctive_term_fraction=0.1)).select("chunk_index")
+    return K.low_distinctiveness(K.chunk_table(document_chunks(spark, d)), K.ChunkPolicy(distinctive_term_fraction=0.01)).select("chunk_index")
 
 
-@query(r"""
-WITH e AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS term FROM documents)
-SELECT term, count(*) AS chunks FROM e GROUP BY term
-""")
+@query(_TERMS + "SELECT term, n AS chunks FROM df")
 def term_frequencies(spark, d):
-    rows = table(spark, d, "documents").select(F.explode(T.terms(F.col("text"))).alias("term"))
-    return rows.groupBy("term").agg(F.count("*").alias("chunks"))
+    return K.term_frequencies(K.chunk_table(document_chunks(spark, d))).where("term <> ''")
 
 
 @query(_DUP + """
@@ -223,12 +222,16 @@ def batch(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     last = states.groupBy("namespace").agg(F.max("snapshot_no").alias("snapshot_no"))
     docs = newest(states.join(last, ["namespace", "snapshot_no"]), ["namespace", "document_id"], "loaded_at").select("namespace", own(F.col("document_id")), "source_version")
     units = chunks.join(last, ["namespace", "snapshot_no"]).where("chunk_key is not null").groupBy(own(F.col("document_id"))).agg(F.collect_set(unit(F.col("chunk_key"))).alias("expected_units"))
-    documents = docs.join(units, "document_id", "left").select("document_id", "source_version", "expected_units")
+    legacy = F.coalesce(F.exists("expected_units", lambda u: u.startswith("page:")), F.lit(False))
+    documents = docs.join(units, "document_id", "left").select("document_id", "source_version", "expected_units", legacy.alias("legacy"))
     ids = table(spark, d, "ids")
     seen = newest(ids.where("observed > 0"), ["namespace", "id"], "entry_no").where("source_id is not null")
-    parts = seen.select(own(F.col("source_id")), "source_version", F.explode_outer("units").alias("unit"))
-    receipts = parts.groupBy("document_id").agg(F.max("source_version").alias("source_version"), F.collect_set("unit").alias("processed_units"))
-    receipts = receipts.select("*", U.empty_units().alias("empty_units"), U.empty_units().alias("failed_units"), F.lit(True).alias("completed"))
+    parts = seen.select(own(F.col("source_id")), "source_version", "text_hash", "vector_norm", "enumerated_at", F.explode_outer("units").alias("unit"))
+    # A unit of a chunk without text hash was empty, one of a chunk without vector failed.
+    receipts = parts.groupBy("document_id").agg(
+        F.max("source_version").alias("source_version"), F.collect_set("unit").alias("processed_units"), F.collect_set(F.when(F.col("text_hash").isNull(), F.col("unit"))).alias("empty_units"),
+        F.collect_set(F.when(F.col("vector_norm").isNull(), F.col("unit"))).alias("failed_units"), F.bool_and(F.col("enumerated_at").isNotNull()).alias("completed"),
+    )
     version = newest(ids.where("expected > 0"), ["namespace", "id"], "entry_no").select(F.col("id").alias("chunk_id"), "source_version")
     stored = newest(table(spark, d, "payloads"), ["chunk_id"], "upsert_no").join(version, "chunk_id", "left")
     md = lambda k: F.try_element_at("metadata", F.lit(k))
@@ -239,50 +242,91 @@ def batch(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     return documents, receipts, stored
 
 
-@query(f"""
+_BATCH = f"""
 WITH last AS (SELECT namespace, max(snapshot_no) AS snapshot_no FROM document_states GROUP BY ALL),
 docs AS (
   SELECT concat_ws('/', namespace, document_id) AS document_id, source_version FROM document_states JOIN last USING (namespace, snapshot_no)
   QUALIFY row_number() OVER (PARTITION BY namespace, document_id ORDER BY loaded_at DESC) = 1),
 unit AS (SELECT concat_ws('/', namespace, document_id) AS document_id, list(DISTINCT split_part(chunk_key, '#', 1)) AS units FROM chunk_states JOIN last USING (namespace, snapshot_no) WHERE chunk_key IS NOT NULL GROUP BY ALL),
-inv AS (SELECT docs.document_id, source_version, units FROM docs LEFT JOIN unit ON docs.document_id = unit.document_id),
+inv AS (SELECT docs.document_id, source_version, units, coalesce(len(list_filter(units, lambda x: starts_with(x, 'page:'))) > 0, FALSE) AS legacy FROM docs LEFT JOIN unit ON docs.document_id = unit.document_id),
 seen AS (SELECT * FROM ids WHERE observed > 0 QUALIFY row_number() OVER (PARTITION BY namespace, id ORDER BY entry_no DESC) = 1),
-rec AS (SELECT concat_ws('/', namespace, source_id) AS document_id, max(source_version) AS version, list_distinct(flatten(list(coalesce(units, [])))) AS processed FROM seen WHERE source_id IS NOT NULL GROUP BY ALL),
+rec AS (SELECT concat_ws('/', namespace, source_id) AS document_id, max(source_version) AS version, list_distinct(flatten(list(coalesce(units, [])))) AS processed,
+    list_distinct(flatten(list(CASE WHEN text_hash IS NULL THEN coalesce(units, []) ELSE [] END))) AS empty, list_distinct(flatten(list(CASE WHEN vector_norm IS NULL THEN coalesce(units, []) ELSE [] END))) AS failed,
+    bool_and(enumerated_at IS NOT NULL) AS completed FROM seen WHERE source_id IS NOT NULL GROUP BY ALL),
 ver AS (SELECT id AS chunk_id, source_version FROM ids WHERE expected > 0 QUALIFY row_number() OVER (PARTITION BY namespace, id ORDER BY entry_no DESC) = 1),
 pay AS (SELECT * FROM payloads QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY upsert_no DESC) = 1),
 c AS (
-  SELECT upsert_no, text, metadata['chunk_key'] AS key, concat_ws('/', namespace, metadata['source_id']) AS document_id, metadata['source_id'] AS source, source_version AS version,
+  SELECT upsert_no, text, namespace, metadata['chunk_key'] AS key, concat_ws('/', namespace, metadata['source_id']) AS document_id, metadata['source_id'] AS source, source_version AS version,
     split_part(metadata['chunk_key'], '#', 1) AS unit, text IS NOT NULL AND {_STRIP.of('text')} <> '' AS filled
   FROM pay LEFT JOIN ver USING (chunk_id)),
-j AS (SELECT c.*, i.document_id IS NOT NULL AS known, i.source_version AS want, i.units AS expected FROM c LEFT JOIN inv i ON c.document_id = i.document_id),
+j AS (SELECT c.*, i.document_id IS NOT NULL AS known, i.source_version AS want, i.units AS expected, i.legacy FROM c LEFT JOIN inv i ON c.document_id = i.document_id),
 good AS (SELECT * FROM j WHERE known AND filled AND key IS NOT NULL AND {_STRIP.of('coalesce(unit, $$$$)')} <> ''),
 cov AS (SELECT document_id, list(DISTINCT unit) AS covered, count(*) AS chunks FROM good GROUP BY ALL),
-e AS (SELECT i.*, r.document_id IS NOT NULL AS has, version, coalesce(processed, []) AS processed, coalesce(covered, []) AS covered, coalesce(chunks, 0) AS chunks
-  FROM inv i LEFT JOIN rec r ON i.document_id = r.document_id LEFT JOIN cov ON i.document_id = cov.document_id),
+e AS (SELECT i.*, r.document_id IS NOT NULL AS has, version, completed, coalesce(processed, []) AS processed, coalesce(empty, []) AS empty, coalesce(failed, []) AS failed, coalesce(covered, []) AS covered, coalesce(chunks, 0) AS chunks,
+    CASE WHEN legacy THEN 'pages' ELSE 'units' END AS many, CASE WHEN legacy THEN 'page' ELSE 'unit' END AS one,
+    list_filter(units, lambda x: NOT list_contains(coalesce(empty, []), x) AND NOT list_contains(coalesce(covered, []), x)) AS lost
+  FROM inv i LEFT JOIN rec r ON i.document_id = r.document_id LEFT JOIN cov ON i.document_id = cov.document_id)
+""".replace("$$$$", "''")
+
+
+@query(_BATCH + f"""
+, lines AS (
+  SELECT upsert_no, document_id, unnest(list_distinct([l[1], l[-1]])) AS line FROM (
+    SELECT upsert_no, document_id, list_filter(list_transform(string_split_regex(text, '{T.LINE}'), lambda x: {_NORM.of('x')}), lambda x: x <> '') AS l FROM c WHERE filled) WHERE len(l) >= 2),
+often AS (SELECT line FROM lines WHERE length(line) >= 12 GROUP BY line HAVING count(*) >= greatest(3, ceil(0.5 * (SELECT count(*) FROM c WHERE filled)))),
+-- Documents with any chunk that doesn't name just one nonblank unit or lacks text are ambiguous.
+part AS (SELECT document_id, unit, text, upsert_no, filled FROM c WHERE document_id NOT IN (SELECT document_id FROM c WHERE text IS NULL OR key IS NULL OR {_STRIP.of('coalesce(unit, $$$$)')} = '')),
+size AS (SELECT document_id, unit, coalesce(length({_STRIP.of("string_agg(text, '' ORDER BY upsert_no) FILTER (filled)")}), 0) AS n FROM part GROUP BY ALL),
+mid AS (SELECT document_id, count(*) AS units, median(n) AS mid FROM size GROUP BY ALL),
 f AS (
   SELECT 'unexpected_receipt' AS code, document_id FROM rec WHERE document_id NOT IN (SELECT document_id FROM inv)
   UNION ALL SELECT 'invalid_text', document_id FROM c WHERE text IS NULL
   UNION ALL SELECT 'empty_text', document_id FROM c WHERE text IS NOT NULL AND NOT filled
   UNION ALL SELECT 'missing_metadata', document_id FROM c WHERE source IS NULL OR {_STRIP.of('source')} = ''
   UNION ALL SELECT 'duplicate_text', document_id FROM (SELECT document_id, row_number() OVER (PARTITION BY {_NORM.of('text')} ORDER BY upsert_no) AS rn FROM c WHERE filled) WHERE rn > 1
+  UNION ALL SELECT 'repeated_boilerplate', document_id FROM lines WHERE line IN (SELECT line FROM often)
+  UNION ALL SELECT 'low_unit_text_yield', size.document_id FROM size JOIN mid ON size.document_id = mid.document_id WHERE units >= 5 AND mid >= 200 AND n < mid * 0.1
   UNION ALL SELECT 'unexpected_chunk_document', NULL FROM j WHERE NOT known
   UNION ALL SELECT 'chunk_version_mismatch', document_id FROM j WHERE known AND version IS DISTINCT FROM want
   UNION ALL SELECT 'invalid_chunk_key', document_id FROM j WHERE known AND (key IS NULL OR {_STRIP.of('key')} = '')
-  UNION ALL SELECT 'unexpected_chunk_unit', document_id FROM j WHERE known AND key IS NOT NULL AND expected IS NOT NULL AND NOT list_contains(expected, unit)
+  UNION ALL SELECT 'unexpected_chunk_' || CASE WHEN legacy THEN 'page' ELSE 'unit' END, document_id FROM j WHERE known AND key IS NOT NULL AND expected IS NOT NULL AND NOT list_contains(expected, unit)
   UNION ALL SELECT 'duplicate_chunk_key', document_id FROM (SELECT document_id, key, row_number() OVER (PARTITION BY document_id, key ORDER BY upsert_no) AS rn FROM j WHERE known AND {_STRIP.of('key')} <> '') WHERE rn > 1
   UNION ALL SELECT 'missing_receipt', document_id FROM e WHERE NOT has
   UNION ALL SELECT 'receipt_version_mismatch', document_id FROM e WHERE has AND version IS DISTINCT FROM source_version
-  UNION ALL SELECT 'processed_units_mismatch', document_id FROM e WHERE has AND units IS NOT NULL AND list_sort(processed) <> list_sort(units)
+  UNION ALL SELECT 'extraction_incomplete', document_id FROM e WHERE has AND NOT completed
+  UNION ALL SELECT 'failed_' || many, document_id FROM e WHERE has AND len(failed) > 0
+  UNION ALL SELECT 'processed_' || many || '_mismatch', document_id FROM e WHERE has AND units IS NOT NULL AND list_sort(processed) <> list_sort(units)
+  UNION ALL SELECT 'invalid_receipt_' || many, document_id FROM e WHERE has AND (NOT list_has_all(processed, empty) OR (units IS NOT NULL AND NOT list_has_all(units, failed)) OR list_has_any(failed, processed))
+  UNION ALL SELECT 'unapproved_empty_' || many, document_id FROM e WHERE has AND len(empty) > 0
+  UNION ALL SELECT 'empty_' || one || '_has_chunks', document_id FROM e WHERE has AND list_has_any(empty, covered)
   UNION ALL SELECT 'completeness_unverified', document_id FROM e WHERE units IS NULL
-  UNION ALL SELECT 'missing_chunk_units', document_id FROM e WHERE units IS NOT NULL AND len(list_filter(units, lambda x: NOT list_contains(covered, x))) > 0
+  UNION ALL SELECT 'missing_chunk_' || many, document_id FROM e WHERE units IS NOT NULL AND len(lost) > 0
   UNION ALL SELECT 'insufficient_chunks', document_id FROM e WHERE chunks < 1)
 SELECT code, document_id, count(*) AS n FROM f GROUP BY ALL
 """.replace("$$$$", "''"))
 def ingestion_audit(spark, d):
-    found = ingestion.audit_ingestion(*batch(spark, d)).findings
-    # Line and yield checks have queries of their own.
-    found = found.where(~F.col("code").isin("repeated_boilerplate", "low_unit_text_yield"))
-    return found.groupBy("code", "document_id").agg(F.count("*").alias("n"))
+    return ingestion.audit_ingestion(*batch(spark, d)).findings.groupBy("code", "document_id").agg(F.count("*").alias("n"))
+
+
+@query(_BATCH + "SELECT count(DISTINCT document_id) AS documents_audited, coalesce(sum(len(lost)), 0)::BIGINT AS missing_units, (SELECT count(*) FROM c) AS chunks_audited FROM e")
+def ingestion_measurements(spark, d):
+    return ingestion.audit_ingestion(*batch(spark, d)).measurements
+
+
+@query(_BATCH + """
+SELECT 'namespace_mismatch' AS code, upsert_no AS chunk_index FROM c WHERE namespace <> (SELECT max(namespace) FROM payloads)
+UNION ALL SELECT 'namespace_missing', upsert_no FROM c WHERE namespace IS NULL
+""")
+def namespace_audit(spark, d):
+    """The batch of all namespaces, audited as that of the last one."""
+    one = table(spark, d, "payloads").agg(F.max("namespace")).first()[0]
+    found = ingestion.audit_ingestion(*batch(spark, d), ingestion.AcceptancePolicy(require_namespace=True), one).findings
+    return found.where(F.col("code").startswith("namespace_")).select("code", "chunk_index")
+
+
+@query("SELECT document_id FROM document_states GROUP BY document_id HAVING count(*) > 1")
+def repeated_documents(spark, d):
+    return ingestion.repeated(table(spark, d, "document_states"), "duplicate_document", "").where("document_id is not null").select("document_id")
 
 
 _COUNTS = """
@@ -305,6 +349,22 @@ def reconcile_missing_sample(spark, d):
     return reconcile.sample_ids(reconcile.id_counts(ids.where("expected > 0").select("id"), ids.where("observed > 0").select("id")), "observed = 0", 100)
 
 
+@query("""
+WITH c AS (SELECT namespace, id, count(*) FILTER (expected > 0) AS e, count(*) FILTER (observed > 0) AS o FROM ids WHERE id IS NOT NULL AND namespace IS NOT NULL GROUP BY ALL),
+n AS (SELECT namespace, count(*) FILTER (e > 0) AS expected_count, count(*) FILTER (o > 0) AS observed_count, count(*) FILTER (e > 0 AND o = 0) AS missing_count, count(*) FILTER (o > 0 AND e = 0) AS orphan_count,
+    sum(greatest(e - 1, 0))::BIGINT AS duplicate_expected_count, sum(greatest(o - 1, 0))::BIGINT AS duplicate_observed_count,
+    coalesce(list_sort(list(id) FILTER (e > 0 AND o = 0))[1:3], []) AS missing_ids, coalesce(list_sort(list(id) FILTER (o > 0 AND e = 0))[1:3], []) AS orphan_ids FROM c WHERE e + o > 0 GROUP BY ALL),
+a AS (SELECT namespace, bool_and(coalesce(inventory_complete, FALSE)) AS inventory_complete FROM reconciliation_reports WHERE namespace IS NOT NULL GROUP BY ALL)
+SELECT a.namespace, inventory_complete, coalesce(expected_count, 0) AS expected_count, coalesce(observed_count, 0) AS observed_count, coalesce(missing_count, 0) AS missing_count, coalesce(orphan_count, 0) AS orphan_count,
+  coalesce(duplicate_expected_count, 0) AS duplicate_expected_count, coalesce(duplicate_observed_count, 0) AS duplicate_observed_count, coalesce(missing_ids, []) AS missing_ids, coalesce(orphan_ids, []) AS orphan_ids,
+  inventory_complete AND coalesce(missing_count + orphan_count + duplicate_expected_count + duplicate_observed_count, 0) = 0 AS passed FROM a LEFT JOIN n USING (namespace)
+""")
+def reconciled_inventories(spark, d):
+    ids = table(spark, d, "ids").where("namespace is not null")
+    said = table(spark, d, "reconciliation_reports").where("namespace is not null").groupBy("namespace").agg(F.bool_and(F.coalesce("inventory_complete", F.lit(False))).alias("inventory_complete"))
+    return reconcile.reconcile(ids.where("expected > 0").select("namespace", "id"), ids.where("observed > 0").select("namespace", "id"), said, max_examples=3)
+
+
 _STREAMS = """
 WITH s AS (SELECT 'enumerated' AS stream, chunk_id AS id FROM chunk_states UNION ALL SELECT 'processed', chunk_id FROM payloads
   UNION ALL SELECT 'failed', chunk_id FROM payloads WHERE vector IS NULL OR text IS NULL),
@@ -330,6 +390,59 @@ def run_findings(spark, d):
     return runs.run_findings(streams(spark, d)).groupBy(F.col("document_id").alias("id"), "code").agg(F.count("*").alias("n"))
 
 
+_RUNS = """
+WITH one AS (SELECT DISTINCT ON (report_no) * FROM reconciliation_reports),
+runs AS (SELECT report_no::VARCHAR AS run_id, coalesce(inventory_complete, FALSE) AS listed, orphan_count <> missing_count AS moved, expected_count = observed_count AS steady FROM one),
+s AS (
+  SELECT run_id, 'processed' AS stream, document_id AS id FROM findings WHERE severity = 'error' UNION ALL SELECT run_id, 'enumerated', document_id FROM findings
+  UNION ALL SELECT report_no::VARCHAR, 'enumerated', unnest(missing_ids) FROM one UNION ALL SELECT report_no::VARCHAR, 'failed', unnest(orphan_ids) FROM one),
+c AS (SELECT run_id, id, count(*) FILTER (stream = 'enumerated') AS e, count(*) FILTER (stream = 'processed') AS p, count(*) FILTER (stream = 'failed') AS f FROM s WHERE id IS NOT NULL AND run_id IN (SELECT run_id FROM runs) GROUP BY ALL),
+x AS (
+  SELECT run_id, [CASE WHEN e > 1 THEN 'duplicate_run_id' END, CASE WHEN p > 1 THEN 'duplicate_run_id' END, CASE WHEN f > 1 THEN 'duplicate_run_id' END,
+    CASE WHEN e = 0 THEN 'unexpected_run_record' END, CASE WHEN f > 0 THEN 'run_processing_failed' END,
+    CASE WHEN p > 0 AND f > 0 THEN 'conflicting_run_outcome' END, CASE WHEN e > 0 AND p + f = 0 THEN 'run_processing_missing' END] AS codes FROM c),
+f AS (
+  SELECT run_id, code FROM (SELECT run_id, unnest(codes) AS code FROM x) WHERE code IS NOT NULL
+  UNION ALL SELECT run_id, 'run_enumeration_incomplete' FROM runs WHERE NOT listed
+  UNION ALL SELECT run_id, 'source_changed_during_run' FROM runs WHERE moved)
+"""
+
+
+def many_runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Each reconciliation report as a run: its missing ids were enumerated, its orphans failed."""
+    r = table(spark, d, "reconciliation_reports").dropDuplicates(["report_no"])
+    f = table(spark, d, "findings")
+    run = F.col("report_no").cast("string").alias("run_id")
+    listed = F.col("inventory_complete")
+    runs_ = r.select(
+        run, listed.alias("enumeration_completed"), listed.alias("pagination_completed"), F.lit("complete").alias("scope"),
+        F.col("missing_count").cast("string").alias("start_watermark"), F.col("orphan_count").cast("string").alias("end_watermark"), (F.col("expected_count") == F.col("observed_count")).alias("consistent_snapshot"),
+    )
+    row = lambda df, stream, id, who=run: df.select(who, F.lit(stream).alias("stream"), id.alias("id"))
+    parts = [
+        row(r, "enumerated", F.explode("missing_ids")), row(r, "failed", F.explode("orphan_ids")), row(f, "enumerated", F.col("document_id"), F.col("run_id")),
+        row(f.where("severity = 'error'"), "processed", F.col("document_id"), F.col("run_id")),
+    ]
+    streams_ = parts[0]
+    for p in parts[1:]:
+        streams_ = streams_.unionByName(p)
+    return runs_, streams_
+
+
+@query(_RUNS + "SELECT run_id, code, count(*) AS n FROM f GROUP BY ALL")
+def audited_runs(spark, d):
+    return runs.audit_runs(*many_runs(spark, d)).groupBy("run_id", "code").agg(F.count("*").alias("n"))
+
+
+@query(_RUNS + """
+, n AS (SELECT run_id, count(*) AS n FROM f GROUP BY ALL)
+SELECT run_id, coalesce(n, 0) AS findings, NOT coalesce(steady, FALSE) AS moving, coalesce(n, 0) = 0 AND listed AND coalesce(steady, FALSE) AND NOT coalesce(moved, FALSE) AS deletion_eligible FROM runs LEFT JOIN n USING (run_id)
+""")
+def run_verdicts(spark, d):
+    out = runs.run_verdicts(*many_runs(spark, d))
+    return out.select("run_id", "findings", F.array_contains("unverified", "source_snapshot_consistency").alias("moving"), "deletion_eligible")
+
+
 @query(_STREAMS + """
 SELECT count(*) FILTER (e > 0) AS records_enumerated, count(*) FILTER (p > 0) AS records_processed, count(*) FILTER (f > 0) AS records_failed, count(*) FILTER (e > 0 AND p + f = 0) AS records_missing FROM c
 """)
@@ -339,8 +452,7 @@ def run_measurements(spark, d):
 
 def export(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The index export, and as sources every document of the snapshots with a digest of its latest version."""
-    fp = F.col("source_fingerprint")
-    comparable = F.when((fp["algorithm"] == "sha256") & (fp["basis"] == "file_bytes"), fp["value"])
+    comparable = comparable_hash(F.col("source_fingerprint"))
     r = table(spark, d, "records").dropDuplicates(["record_no"])
     records = r.select(
         F.col("record_no").alias("line"), "id", "source", "source_version", F.array_sort("units").alias("units"), "text", F.col("text").isNotNull().alias("has_text"), comparable.alias("fingerprint"),
@@ -509,8 +621,7 @@ SELECT namespace, sequence, revision, removed_chunks FROM (SELECT DISTINCT names
 QUALIFY row_number() OVER (PARTITION BY namespace ORDER BY sequence DESC) <= 3
 """)
 def recent_commits(spark, d):
-    c = table(spark, d, "commits").select("namespace", "sequence", "revision", "removed_chunks").distinct()
-    return c.withColumn("_rn", F.row_number().over(W.partitionBy("namespace").orderBy(F.desc("sequence")))).where("_rn <= 3").drop("_rn")
+    return last_commits(table(spark, d, "commits").select("namespace", "sequence", "revision", "removed_chunks"), 3)
 
 
 @query("""
@@ -533,14 +644,27 @@ n AS (SELECT chunk_id AS id, max(CASE WHEN text IS NULL OR {_STRIP.of('text')} =
 x AS (SELECT DISTINCT chunk_id AS id FROM chunk_states),
 j AS (SELECT coalesce(want.id, x.id) AS id, want.id IS NOT NULL AS embed, x.id IS NOT NULL AS compared FROM want FULL JOIN x ON want.id = x.id)
 SELECT sum(tokens) FILTER (embed)::BIGINT AS tokens, sum(tokens) FILTER (compared)::BIGINT AS baseline_tokens, count(*) FILTER (tokens IS NULL) AS missing, count(*) FILTER (embed AND NOT compared) AS outside,
-  (sum(tokens) FILTER (embed) * 0.02 / 1000000)::DECIMAL(28,8) AS cost FROM j LEFT JOIN n USING (id)
+  round((sum(tokens) FILTER (embed) * 0.02 / 1000000)::DOUBLE, 9) AS cost, round(((sum(tokens) FILTER (compared) - sum(tokens) FILTER (embed)) * 0.02 / 1000000)::DOUBLE, 9) AS avoided FROM j LEFT JOIN n USING (id)
 """)
 def embedding_cost(spark, d):
     want = table(spark, d, "update_plans").select(F.explode("embed_ids").alias("chunk_id"))
     n = table(spark, d, "payloads").select("chunk_id", F.coalesce(F.size(T.words(F.col("text"))), F.lit(0)).cast("bigint").alias("tokens"))
     sums = cost.token_sums(want.where("chunk_id is not null"), n, table(spark, d, "chunk_states").select("chunk_id"))
-    price = (F.col("tokens").cast("decimal(20,0)") * F.lit("0.00000002").cast("decimal(9,8)")).cast("decimal(28,8)")
-    return sums.withColumn("cost", price)
+    return cost.priced(sums, "0.02").withColumns({c: F.round(F.col(c).cast("double"), 9) for c in ("cost", "avoided")})
+
+
+@query(f"""
+WITH want AS (SELECT DISTINCT chunk_id FROM payloads WHERE text IS NOT NULL),
+n AS (SELECT chunk_id, max(CASE WHEN text IS NULL OR {_STRIP.of('text')} = '' THEN 0 ELSE len(string_split_regex({_STRIP.of('text')}, '{_WS}+')) END)::BIGINT AS tokens FROM payloads GROUP BY ALL)
+SELECT coalesce(sum(tokens) FILTER (chunk_id IN (SELECT chunk_id FROM want)), 0)::BIGINT AS tokens, coalesce(sum(tokens), 0)::BIGINT AS baseline_tokens,
+  round((coalesce(sum(tokens) FILTER (chunk_id IN (SELECT chunk_id FROM want)), 0) * 0.02 / 1000000)::DOUBLE, 9) AS cost FROM n WHERE chunk_id IS NOT NULL
+""")
+def cost_estimate(spark, d):
+    """What embedding all chunks with text costs, against embedding every chunk."""
+    p = table(spark, d, "payloads").where("chunk_id is not null")
+    n = p.select("chunk_id", F.coalesce(F.size(T.words(F.col("text"))), F.lit(0)).cast("bigint").alias("tokens"))
+    e = cost.estimate_cost(p.where("text is not null").select("chunk_id"), n, "0.02", "USD", p.select("chunk_id"))
+    return spark.createDataFrame([(e.tokens, e.baseline_tokens, round(float(e.cost), 9))], "tokens bigint, baseline_tokens bigint, cost double")
 
 
 @query("""
@@ -557,6 +681,51 @@ def content_hashes(spark, d):
     return table(spark, d, "eval_items").select("item_id", h.alias("text_hash"), C.embedding_hash(h, "model-a", "pipe-1").alias("embedding_hash"))
 
 
+@query()
+def document_hashes(spark, d):
+    """Content hashes of all document texts. SQL has no ASCII-only JSON; a test compares with Python."""
+    h = C.text_hash(F.col("text"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", h.alias("text_hash"), C.embedding_hash(h, "model-a", "pipe-1").alias("embedding_hash"))
+
+
+@query("""
+SELECT upsert_no, sha256('{"chunk_key":' || to_json(metadata['chunk_key'])::VARCHAR || ',"source_id":' || to_json(metadata['source_id'])::VARCHAR || '}') AS metadata_hash
+FROM (SELECT DISTINCT ON (upsert_no) * FROM payloads WHERE metadata['chunk_key'] IS NOT NULL AND metadata['source_id'] IS NOT NULL)
+""")
+def metadata_hashes(spark, d):
+    md = lambda k: F.try_element_at("metadata", F.lit(k))
+    p = table(spark, d, "payloads").dropDuplicates(["upsert_no"]).where(md("chunk_key").isNotNull() & md("source_id").isNotNull())
+    return p.select("upsert_no", C.metadata_hash(F.create_map(F.lit("source_id"), md("source_id"), F.lit("chunk_key"), md("chunk_key"))).alias("metadata_hash"))
+
+
+@query(r"""
+SELECT text_hash, regexp_full_match(text_hash, '[0-9a-f]{64}') AS canonical, count(*) AS rows FROM chunk_states WHERE text_hash IS NOT NULL GROUP BY ALL
+""")
+def hash_spelling(spark, d):
+    rows = table(spark, d, "chunk_states").where("text_hash is not null").select("text_hash", C.is_hash(F.col("text_hash")).alias("canonical"))
+    return rows.groupBy("text_hash", "canonical").agg(F.count("*").alias("rows"))
+
+
+@query(r"""
+SELECT item_id, len(list_filter(regexp_extract_all(said, '\[(\d+)\]', 1), lambda x: x::BIGINT > 5)) > 0 OR (len(regexp_extract_all(said, '\[(\d+)\]')) = 0 AND NOT contains(lower(said), 'cannot answer')) AS wrong
+FROM (SELECT item_id, coalesce(answer || CASE WHEN item_id % 3 = 0 THEN '' ELSE ' [' || item_id % 7 + 1 || ']' END, 'Cannot answer.') AS said FROM eval_items)
+""")
+def citation_errors(spark, d):
+    """Answers that cite the passages 1 to 7, or none, where 1 to 5 were given."""
+    cited = F.when(F.col("item_id") % 3 == 0, "").otherwise(F.concat(F.lit(" ["), (F.col("item_id") % 7 + 1).cast("string"), F.lit("]")))
+    said = F.coalesce(F.concat("answer", cited), F.lit("Cannot answer."))
+    return table(spark, d, "eval_items").select("item_id", T.citation_errors(said, F.sequence(F.lit(1), F.lit(5)).cast("array<bigint>")).alias("wrong"))
+
+
+@query("""
+SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'error') = 0 AND count(*) FILTER (severity = 'warning') <= 100 AS passed
+FROM (SELECT DISTINCT ON (finding_id) * FROM findings)
+""")
+def findings_verdict(spark, d):
+    v = reports.verdict(numbered_findings(spark, d), 100)
+    return spark.createDataFrame([(v.errors, v.warnings, v.passed)], "errors bigint, warnings bigint, passed boolean")
+
+
 @query(f"""
 WITH w AS (SELECT doc_id, string_split_regex({_STRIP.of('text')}, '{_WS}+') AS w FROM documents WHERE text IS NOT NULL AND {_STRIP.of('text')} <> ''),
 i AS (SELECT doc_id, w, unnest(generate_series(0, CASE WHEN len(w) <= 400 THEN 0 ELSE ceil((len(w) - 400) / 360)::BIGINT END)) AS part FROM w)
@@ -595,9 +764,10 @@ def positional_chunk_keys(spark, d):
     return K.assign_chunk_keys(r).where("chunk_key is not null").select(F.col("chunk_index").alias("record_no"), "chunk_key")
 
 
-@query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
-def orders_referred_to(spark, d):
-    return orphans.orphan_keys(table(spark, d, "lineitem").select("l_orderkey"), table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), ["l_orderkey"]).drop("null_mask")
+@query("SELECT DISTINCT namespace, id FROM records WHERE namespace IS NOT NULL AND id IS NOT NULL AND (namespace, id) NOT IN (SELECT (namespace, chunk_id) FROM payloads WHERE namespace IS NOT NULL AND chunk_id IS NOT NULL)")
+def orphan_keys_simple(spark, d):
+    refs, targets = table(spark, d, "records").select("namespace", "id"), table(spark, d, "payloads").select("namespace", F.col("chunk_id").alias("id"))
+    return orphans.orphan_keys(refs, targets, ["namespace", "id"]).drop("null_mask")
 
 
 _REFS = """
@@ -622,11 +792,11 @@ def orphan_keys_full(spark, d):
 
 
 @query("""
-SELECT suite, count(*) AS items, count(*) FILTER (split = 'test') AS test, count(*) FILTER (answer IS NOT NULL AND contains(text, answer)) AS answered,
-  CASE WHEN count(*) FILTER (answer IS NULL) > 0 THEN 'incomplete' ELSE 'complete' END AS status FROM eval_items GROUP BY suite
+WITH c AS (SELECT suite AS scenario, CASE WHEN answer IS NULL THEN 'not_applicable' WHEN contains(text, answer) THEN 'reviewed' ELSE 'unreviewed' END AS state FROM eval_items),
+n AS (SELECT scenario, state FROM c WHERE scenario IS NOT NULL UNION ALL SELECT NULL, state FROM c)
+SELECT scenario, CASE WHEN count(*) FILTER (state <> 'not_applicable') = 0 THEN 'not_applicable' WHEN count(*) FILTER (state = 'unreviewed') = 0 THEN 'reviewed' WHEN count(*) FILTER (state = 'reviewed') = 0 THEN 'unreviewed' ELSE 'partial' END AS status,
+  count(*) FILTER (state = 'reviewed') AS reviewed_checks, count(*) FILTER (state = 'unreviewed') AS unreviewed_checks, count(*) FILTER (state = 'not_applicable') AS not_applicable_checks FROM n GROUP BY scenario
 """)
 def review_summary(spark, d):
-    return table(spark, d, "eval_items").groupBy("suite").agg(
-        F.count("*").alias("items"), F.count_if(F.col("split") == "test").alias("test"), F.count_if(F.expr("answer is not null and contains(text, answer)")).alias("answered"),
-        F.when(F.count_if(F.col("answer").isNull()) > 0, "incomplete").otherwise("complete").alias("status"),
-    )
+    state = F.when(F.col("answer").isNull(), "not_applicable").when(F.contains("text", "answer"), "reviewed").otherwise("unreviewed")
+    return reports.review_summary(table(spark, d, "eval_items").select(F.col("suite").alias("scenario"), state.alias("state")))

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructField, StructType
 
-#: A side is broadcast only after it was counted and found to hold at most this many rows.
+#: A side is broadcast only after it was measured and found to hold at most so many rows and bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,27 +55,35 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(CLEANUP, before)
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Let go of the shuffle files that no DataFrame needs any more.
+def _bytes(field: StructField) -> Column:
+    """About how many bytes a value of the column takes."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(field.dataType, (ArrayType, MapType, StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+    return F.lit(8)
 
-    Spark removes them when the driver happens to collect its garbage, which may be after the disk is
-    full. Python tells the JVM of objects that it gave up with up to a second's delay.
-    """
-    gc.collect()
-    time.sleep(1.2)
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.3)
+
+def _width(df: DataFrame) -> Column:
+    return sum((_bytes(f) for f in df.schema.fields), F.lit(0)).cast("long")
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it was counted to hold at most ``rows`` rows, else df as it is.
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it was measured to hold at most ``rows`` rows and about ``size`` bytes,
+    else df as it is.
 
-    Counting stops after ``rows + 1`` rows. Beyond the bound the planner shuffles both sides and
+    Measuring stops after ``rows + 1`` rows. Beyond the bounds the planner shuffles both sides and
     adaptive execution splits skewed partitions. Callers pass a df that is cut or cheap to compute.
     """
-    return F.broadcast(df) if df.select(F.lit(1)).limit(rows + 1).count() <= rows else df
+    n, total = df.select(_width(df).alias("w")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A side that is expected to be small: computed once, then broadcast if it is (see broadcast_if_small)."""
-    return broadcast_if_small(cut(df), rows)
+def small(df: DataFrame) -> DataFrame:
+    """A side that is expected to be small: computed once and measured on the way, then broadcast if it is
+    (see broadcast_if_small)."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(_width(df)).alias("size")))
+    got = seen.get
+    return F.broadcast(out) if got.get("rows", 0) <= BROADCAST_ROWS and (got.get("size") or 0) <= BROADCAST_BYTES else out

@@ -1,96 +1,148 @@
-"""Files of a folder tree as sources: enumeration on the driver, reading in tasks."""
+"""Files of a folder tree as sources: listing, reading and chunking in tasks.
+
+A tree is listed level by level: each level is a table of folders whose entries tasks list, so no process
+walks the whole tree. Tasks must see the file system that the root lies on.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import html
 import importlib.util
 import os
+import re
+import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
-from html.parser import HTMLParser
-from pathlib import Path, PurePosixPath
+from functools import reduce
+from io import BytesIO
+from pathlib import Path
+from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from plumbline.findings import emit, finding, union
-from plumbline.functions.text import blank, split_words
+from plumbline.functions.text import WHITE, blank, split_words
+from plumbline.functions.units import source_path_ok, suffix
 from plumbline.operators.chunks import assign_chunk_keys
 from plumbline.operators.ingestion import AcceptancePolicy, IngestionAudit, audit_ingestion
-from plumbline.session import cut
+from plumbline.session import broadcast_if_small, cut, small
 
+# The file types of a folder check.
 TEXT = (".txt", ".md", ".rst")
 HTML = (".html", ".htm")
 SUPPORTED = (".pdf", *TEXT, *HTML, ".docx", ".pptx")
-READERS = {".pdf": ("pypdf", "pdf"), ".docx": ("docx", "office"), ".pptx": ("pptx", "office")}
-PATHS = "source string, path string, suffix string, excluded boolean"
-READ = "source string, source_version string, unit string, text string, failed boolean, image_only boolean, reason string, error string"
+#: Packages that readers need beyond the standard library.
+READERS = {".pdf": "pypdf"}
+ENTRIES = "kind string, source string, path string, suffix string"
+READ = "source string, source_version string, unit string, unit_no int, text string, failed boolean, image_only boolean, reason string, error string"
+
+# Why a file couldn't be read, by the name of a class of the exception and, where it says
+# so, the suffix. The first that fits counts.
+REASONS = (
+    ("ImportError", None, "reader_unavailable"),
+    ("UnicodeError", None, "invalid_utf8"),
+    ("EmptyFileError", None, "empty_file"),
+    ("FileNotDecryptedError", ".pdf", "encrypted_pdf"),
+    ("WrongPasswordError", ".pdf", "encrypted_pdf"),
+    ("PdfReadError", ".pdf", "invalid_pdf"),
+    ("PdfStreamError", ".pdf", "invalid_pdf"),
+    ("PermissionError", None, "permission_denied"),
+    ("SourceChangedError", None, "source_changed"),
+    ("Exception", None, "unknown_read_error"),
+)
+
+
+class SourceChangedError(Exception):
+    """A file's bytes weren't the same after it was read."""
+
+
+def read_failure(suffix: str, e: Exception) -> str:
+    kinds = {c.__name__ for c in type(e).__mro__}
+    return next(reason for name, only, reason in REASONS if name in kinds and only in (None, suffix))
 
 
 @dataclass(frozen=True)
 class Tree:
-    """paths: PATHS of supported files. problems: (code, source) found while walking."""
+    """entries: ENTRIES. kind: file (supported), other, linked (a link to a folder or a supported file;
+    never followed) or failed (a folder that couldn't be listed; suffix holds the error)."""
+
+    entries: DataFrame
+
+    def files(self) -> DataFrame:
+        return self.entries.where("kind = 'file'").select("source", "path", "suffix")
+
+    def problems(self) -> DataFrame:
+        """A finding for each linked or failed entry; without any, the listing is complete."""
+        linked = finding("source_path_excluded", message="Links are not followed.", document_id=F.col("source"))
+        failed = finding("source_enumeration_failed", message=F.col("suffix"), document_id=F.col("source"))
+        return emit(self.entries, [F.when(F.col("kind") == "linked", linked), F.when(F.col("kind") == "failed", failed)])
+
+
+def _entries_of(folders: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
+    def rows_of(source: str, path: str) -> Iterator[tuple]:
+        with os.scandir(path) as found:
+            for e in found:
+                name, kind = f"{source}/{e.name}".lstrip("/"), Path(e.name).suffix.lower()
+                if e.is_symlink():
+                    if os.path.isdir(e.path) or kind in suffixes:
+                        yield "linked", name, e.path, kind
+                    else:
+                        yield "other", name, e.path, kind
+                elif e.is_dir(follow_symlinks=False):
+                    yield "folder", name, e.path, kind
+                else:
+                    yield "file" if kind in suffixes else "other", name, e.path, kind
+
+    def list_them(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for source, path in zip(b["source"], b["path"]):
+                try:
+                    rows = list(rows_of(source, path))
+                except OSError as e:
+                    rows = [("failed", source, path, type(e).__name__)]
+                yield pd.DataFrame(rows, columns=["kind", "source", "path", "suffix"])
 
-    paths: DataFrame
-    problems: DataFrame
-    unsupported: int
-    complete: bool
+    return folders.select("source", "path").mapInPandas(list_them, ENTRIES)
 
 
-def walk(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUPPORTED) -> Tree:
-    """Enumerate a tree without following links; linked files and folders are reported, not read."""
-    base = Path(root).resolve(strict=True)
-    if not base.is_dir():
+def list_tree(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUPPORTED) -> Tree:
+    """List a tree; the root itself may be reached through links."""
+    base = os.path.realpath(root, strict=True)
+    if not os.path.isdir(base):
         raise ValueError("the root must be a folder")
-    rows, problems, other = [], [], 0
-    failed = lambda e: problems.append(("source_enumeration_failed", type(e).__name__))
-    for folder, dirs, files in os.walk(base, followlinks=False, onerror=failed):
-        for d in sorted(dirs):
-            if Path(folder, d).is_symlink():
-                dirs.remove(d)
-                problems.append(("source_path_excluded", Path(folder, d).relative_to(base).as_posix()))
-        dirs.sort()
-        for f in sorted(files):
-            path = Path(folder, f)
-            if path.suffix.lower() not in suffixes:
-                other += 1
-                continue
-            source = path.relative_to(base).as_posix()
-            linked = path.is_symlink() or not path.resolve().is_relative_to(base)
-            if linked:
-                problems.append(("source_path_excluded", source))
-            rows.append((source, str(path), path.suffix.lower(), linked))
-    return Tree(spark.createDataFrame(rows, PATHS), spark.createDataFrame(problems, "code string, source string"), other, not problems)
-
-
-class _Body(HTMLParser):
-    """The text of a page without scripts, styles and templates."""
-
-    HIDDEN = ("script", "style", "template")
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self.depth = 0
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.depth += tag in self.HIDDEN
-
-    def handle_endtag(self, tag: str) -> None:
-        self.depth -= tag in self.HIDDEN and self.depth > 0
-
-    def handle_data(self, data: str) -> None:
-        if not self.depth:
-            self.parts.append(data)
-
-
-def html_text(html: str) -> str:
-    p = _Body()
-    p.feed(html)
-    p.close()
-    return " ".join(p.parts)
+    level, levels = spark.createDataFrame([("", base)], "source string, path string"), []
+    while not levels or not level.isEmpty():
+        levels.append(cut(_entries_of(level, suffixes)))
+        level = levels[-1].where("kind = 'folder'")
+    return Tree(reduce(DataFrame.unionByName, levels).where("kind <> 'folder'"))
+
+
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?:[^>"']|"[^"]*"|'[^']*')*>""", re.DOTALL)
+#: Elements whose content isn't shown; that of the first two isn't markup either.
+_RAW, _HIDDEN = ("script", "style"), ("script", "style", "template")
+
+
+def html_text(page: str) -> str:
+    """The text between a page's tags, but for scripts, styles and templates, joined by blanks."""
+    shown, at, templates = [], 0, 0
+    while at < len(page):
+        tag = _TAG.search(page, at)
+        text = page[at : tag.start() if tag else len(page)]
+        if text and not templates:
+            shown.append(html.unescape(text))
+        if tag is None:
+            break
+        at, name = tag.end(), (tag["name"] or "").lower()
+        if name == "template":
+            templates = max(0, templates - 1) if tag["end"] else templates + 1
+        elif name in _RAW and not tag["end"]:
+            close = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(page, at)
+            at = close.start() if close else len(page)
+    return " ".join(shown)
 
 
 @F.pandas_udf(StringType())
@@ -99,118 +151,122 @@ def html_body(html: pd.Series) -> pd.Series:
     return html.map(lambda x: None if x is None else html_text(x))
 
 
-def _units(path: str, suffix: str, raw: bytes) -> Iterator[tuple[str, str | None, bool, bool]]:
-    """(unit, text, failed, likely image only) of a file's bytes."""
-    if suffix in TEXT or suffix in HTML:
-        text = raw.decode("utf-8")
-        yield "file", html_text(text) if suffix in HTML else text, False, False
-        return
-    from io import BytesIO
+def _local(element: ElementTree.Element) -> str:
+    return element.tag.rpartition("}")[2]
+
+
+def _runs(element: ElementTree.Element) -> str:
+    """The text of a paragraph: its runs, with tabs and breaks."""
+    as_text = {"tab": "\t", "br": "\n", "cr": "\n"}
+    return "".join((e.text or "") if _local(e) == "t" else as_text.get(_local(e), "") for e in element.iter())
+
+
+def _paragraphs(element: ElementTree.Element) -> list[str]:
+    """The paragraphs below an element in the document's order, those of table cells in their places."""
+    return [_runs(e) for e in element.iter() if _local(e) == "p"]
+
+
+def _docx_units(raw: bytes) -> Iterator[tuple[str, str]]:
+    with zipfile.ZipFile(BytesIO(raw)) as z:
+        yield "body", "\n".join(_paragraphs(ElementTree.fromstring(z.read("word/document.xml"))))
+
+
+def _pptx_units(raw: bytes) -> Iterator[tuple[str, str]]:
+    """Slides in the order of the presentation; shapes, groups and tables in that of the slide."""
+    with zipfile.ZipFile(BytesIO(raw)) as z:
+        links = {e.get("Id"): e.get("Target") for e in ElementTree.fromstring(z.read("ppt/_rels/presentation.xml.rels"))}
+        show = ElementTree.fromstring(z.read("ppt/presentation.xml"))
+        ids = [next(v for k, v in e.attrib.items() if k.endswith("}id")) for e in show.iter() if _local(e) == "sldId"]
+        for n, i in enumerate(ids, 1):
+            slide = z.read(f"ppt/{links[i]}" if not links[i].startswith("/") else links[i][1:])
+            yield f"slide:{n}", "\n".join(_paragraphs(ElementTree.fromstring(slide)))
+
+
+def _pdf_units(raw: bytes) -> Iterator[tuple[str, str | None, bool, bool]]:
+    from pypdf import PdfReader
 
+    for n, page in enumerate(PdfReader(BytesIO(raw)).pages, 1):
+        text, image = None, False
+        try:
+            text = page.extract_text() or ""
+            image = not text.strip() and bool(len(page.images))
+        except Exception:  # a page that fails is a failed unit; one whose images fail has no sign of being one
+            pass
+        yield f"page:{n}", text, text is None, image
+
+
+def units_of(suffix: str, raw: bytes) -> Iterator[tuple[str, str | None, bool, bool]]:
+    """(unit, text, failed, likely image only) of a file's bytes."""
     if suffix == ".pdf":
-        from pypdf import PdfReader
-
-        for i, page in enumerate(PdfReader(BytesIO(raw)).pages, 1):
-            try:
-                text = page.extract_text() or ""
-            except Exception:
-                yield f"page:{i}", None, True, False
-                continue
-            try:
-                image = not text.strip() and len(page.images) > 0
-            except Exception:
-                image = False
-            yield f"page:{i}", text, False, image
-    elif suffix == ".docx":
-        from docx import Document
-
-        doc = Document(BytesIO(raw))
-        parts = [p.text for p in doc.paragraphs] + [c.text for t in doc.tables for r in t.rows for c in r.cells]
-        yield "body", "\n".join(parts), False, False
+        yield from _pdf_units(raw)
+    elif suffix in (".docx", ".pptx"):
+        yield from ((u, t, False, False) for u, t in (_docx_units if suffix == ".docx" else _pptx_units)(raw))
     else:
-        from pptx import Presentation
-
-        def texts(shapes) -> Iterator[str]:
-            for s in shapes:
-                if hasattr(s, "shapes"):
-                    yield from texts(s.shapes)
-                elif getattr(s, "has_table", False):
-                    yield from (c.text for r in s.table.rows for c in r.cells)
-                elif getattr(s, "has_text_frame", False):
-                    yield s.text_frame.text
-
-        for i, slide in enumerate(Presentation(BytesIO(raw)).slides, 1):
-            yield f"slide:{i}", "\n".join(texts(slide.shapes)), False, False
-
-
-def failure_reason(suffix: str, e: Exception) -> str:
-    name = type(e).__name__
-    if isinstance(e, ImportError):
-        return "reader_unavailable"
-    if isinstance(e, UnicodeError):
-        return "invalid_utf8"
-    if name == "EmptyFileError":
-        return "empty_file"
-    if suffix == ".pdf" and name in ("FileNotDecryptedError", "WrongPasswordError"):
-        return "encrypted_pdf"
-    if suffix == ".pdf" and name in ("PdfReadError", "PdfStreamError"):
-        return "invalid_pdf"
-    if isinstance(e, PermissionError):
-        return "permission_denied"
-    return "source_changed" if str(e) == "changed while read" else "unknown_read_error"
+        text = raw.decode("utf-8")
+        yield "file", html_text(text) if suffix in HTML else text, False, False
 
 
 def read_units(paths: DataFrame) -> DataFrame:
-    """READ: a row per unit, or one with a reason for a file that can't be read.
+    """READ: a row per unit, or one with a reason for a file that can't be read. paths: source, path, suffix.
 
-    The version is the SHA-256 of the file's bytes, taken again after extraction; the caller's tasks
-    must see the same file system as its driver.
+    The version is the SHA-256 of the file's bytes, taken again after extraction.
     """
+    names = [x.split()[0] for x in READ.split(", ")]
+
+    def rows_of(source: str, path: str, kind: str) -> list[tuple]:
+        raw = Path(path).read_bytes()
+        version = hashlib.sha256(raw).hexdigest()
+        rows = [(source, version, unit, n, text, failed, image, None, None) for n, (unit, text, failed, image) in enumerate(units_of(kind, raw))]
+        if hashlib.sha256(Path(path).read_bytes()).hexdigest() != version:
+            raise SourceChangedError
+        return rows or [(source, version, None, 0, None, False, False, None, None)]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for source, path, suffix in zip(b["source"], b["path"], b["suffix"]):
+            for source, path, kind in zip(b["source"], b["path"], b["suffix"]):
                 try:
-                    raw = Path(path).read_bytes()
-                    version = hashlib.sha256(raw).hexdigest()
-                    rows = [(source, version, u, t, f, i, None, None) for u, t, f, i in _units(path, suffix, raw)]
-                    if hashlib.sha256(Path(path).read_bytes()).hexdigest() != version:
-                        raise ValueError("changed while read")
-                    rows = rows or [(source, version, None, None, False, False, None, None)]
+                    rows = rows_of(source, path, kind)
                 except Exception as e:
-                    rows = [(source, None, None, None, True, False, failure_reason(suffix, e), type(e).__name__)]
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in READ.split(", ")])
-
-    return paths.where("not excluded").select("source", "path", "suffix").mapInPandas(read, READ)
-
-
-def expected_files(path: str) -> list[str]:
-    """A list of root-relative supported paths, one a line."""
-    out: list[str] = []
-    for n, line in enumerate(Path(path).read_text(encoding="utf-8-sig").splitlines(), 1):
-        p = line.strip()
-        if not p:
-            continue
-        if "\\" in p or p.startswith("/") or any(x in ("", ".", "..") for x in p.split("/")) or PurePosixPath(p).suffix.lower() not in SUPPORTED:
-            raise ValueError(f"line {n} is not a root-relative path of a supported file")
-        if p in out:
-            raise ValueError(f"line {n} repeats {p}")
-        out.append(p)
-    if not out:
+                    rows = [(source, None, None, 0, None, True, False, read_failure(kind, e), type(e).__name__)]
+                yield pd.DataFrame(rows, columns=names)
+
+    return paths.select("source", "path", "suffix").mapInPandas(read, READ)
+
+
+def expected_files(spark: SparkSession, path: str) -> DataFrame:
+    """(source) of a list of root-relative paths of supported files, one a line; raises if any isn't one,
+    if one is listed twice or if there is none."""
+    lines = spark.read.text(path).select(F.btrim(F.regexp_replace("value", "^\\x{FEFF}", ""), F.lit(WHITE)).alias("source")).where("source <> ''")
+    lines = cut(lines)
+    fits = F.is_valid_utf8("source") & source_path_ok(F.col("source")) & suffix(F.col("source")).isin(*SUPPORTED)
+    wrong = lines.groupBy("source").agg(F.count("*").alias("n")).where((F.col("n") > 1) | ~fits).select(F.min("source")).first()[0]
+    if wrong is not None:
+        raise ValueError(f"not a root-relative path of a supported file, or listed twice: {wrong}")
+    if lines.isEmpty():
         raise ValueError("the list of expected files is empty")
-    return out
+    return lines
 
 
 def unit_chunks(units: DataFrame, words_per_chunk: int = 400, overlap: int = 40) -> DataFrame:
-    """Chunks of units (source, source_version, unit, text): runs of words within each nonblank unit."""
-    parts = units.where(~blank(F.col("text"))).select("source", "source_version", "unit", F.posexplode(split_words(F.col("text"), words_per_chunk, overlap)).alias("part", "text"))
-    rows = parts.select(
-        F.xxhash64("source", "unit", "part").alias("h"), F.col("source").alias("document_id"), "source_version", "source", "part",
-        F.array("unit").alias("units"), "text", F.create_map(F.lit("source"), "source").alias("metadata"),
+    """Chunks of units (source, source_version, unit, unit_no, text): runs of words within each nonblank unit.
+
+    chunk_index follows source, unit and place in the unit: up to 2^23 sources, 2^20 units of each and
+    2^20 chunks of each.
+    """
+    files = units.select("source").distinct()
+    place = small(files.withColumn("n", F.rank().over(_by_source())))
+    parts = units.where(~blank(F.col("text"))).select("source", "source_version", "unit", "unit_no", F.posexplode(split_words(F.col("text"), words_per_chunk, overlap)).alias("part", "text"))
+    at = F.shiftleft(F.col("n").cast("long"), 40) + F.shiftleft(F.col("unit_no").cast("long"), 20) + F.col("part")
+    rows = parts.join(place, "source").select(
+        at.alias("chunk_index"), F.col("source").alias("document_id"), "source_version", "source", F.array("unit").alias("units"), "text", F.create_map(F.lit("source"), "source").alias("metadata"),
     )
-    # Keys are ordinals within a unit; the index only has to order a unit's chunks and be unique.
-    keyed = assign_chunk_keys(rows.withColumn("chunk_index", F.col("part").cast("bigint"))).drop("chunk_index")
-    return keyed.withColumn("chunk_index", F.col("h")).drop("h", "part")
+    return assign_chunk_keys(rows)
+
+
+def _by_source():
+    from pyspark.sql import Window as W
+
+    return W.orderBy("source")  # a narrow row per file
 
 
 @dataclass(frozen=True)
@@ -226,51 +282,62 @@ class FolderCheck:
         return self.outcome == "passed"
 
 
+def outcome() -> Column:
+    """The outcome of a check by its facts. The names of the outcomes and their order."""
+    whole = (F.col("walk_problems") == 0) & (F.col("unreadable") == 0)
+    no_reader = (F.col("walk_problems") == 0) & (F.col("audited") == 0) & (F.col("found") > 0) & (F.col("reader_unavailable") == F.col("found"))
+    return (
+        F.when(no_reader, "reader_unavailable").when(~whole, "incomplete").when((F.col("found") == 0) & ~F.col("listed"), "no_supported_files")
+        .when(F.col("errors") > 0, "audit_failed").otherwise("passed")
+    )
+
+
+def source_inventory(units: DataFrame) -> DataFrame:
+    """(document_id, source_version, expected_units, processed_units, empty_units, failed_units) of the readable files."""
+    sets = {"expected": F.lit(True), "processed": ~F.col("failed"), "empty": ~F.col("failed") & blank(F.col("text")), "failed": F.col("failed")}
+    cols = [F.array_sort(F.collect_set(F.when(c, F.col("unit")))).alias(f"{n}_units") for n, c in sets.items()]
+    return units.where("reason is null").groupBy(F.col("source").alias("document_id"), "source_version").agg(*cols)
+
+
 def check_folder(spark: SparkSession, root: str, expected: str | None = None) -> FolderCheck:
-    """Enumerate, read, chunk and audit a folder, and tell unusable evidence from findings."""
-    want = expected_files(expected) if expected is not None else None
-    tree = walk(spark, root)
-    units = cut(read_units(tree.paths))
-    bad, good = units.where("reason is not null"), units.where("reason is null")
-    docs = good.groupBy("source", "source_version").agg(
-        F.array_sort(F.collect_set("unit")).alias("expected_units"), F.array_sort(F.collect_set(F.when(F.col("failed"), F.col("unit")))).alias("failed_units"),
-        F.array_sort(F.collect_set(F.when(~F.col("failed"), F.col("unit")))).alias("processed_units"), F.array_sort(F.collect_set(F.when(~F.col("failed") & blank(F.col("text")), F.col("unit")))).alias("empty_units"),
-    ).withColumnRenamed("source", "document_id")
-    receipts = docs.select("document_id", "source_version", "processed_units", "empty_units", "failed_units", F.lit(True).alias("completed"))
+    """List, read, chunk and audit a folder, and tell unusable evidence from findings."""
+    want = None if expected is None else expected_files(spark, expected)
+    tree = list_tree(spark, root)
+    tree = Tree(cut(tree.entries))
+    units = cut(read_units(tree.files()))
+    docs = cut(source_inventory(units))
     documents = docs.select("document_id", "source_version", "expected_units", F.exists("expected_units", lambda u: u.startswith("page:")).alias("legacy"))
-    audited = docs.count()
-    audit = audit_ingestion(documents, receipts, unit_chunks(good), AcceptancePolicy(require_documents=audited > 0))
-    evidence = [
-        emit(tree.problems, [finding(F.col("code"), document_id=F.col("source"))]),
-        emit(bad, [finding("source_read_failed", message=F.concat_ws(": ", "reason", "error"), document_id=F.col("source"))]),
-        emit(good.where("image_only"), [finding("likely_image_only_page", message=F.col("unit"), document_id=F.col("source"))]),
+    audit = audit_ingestion(documents, docs.withColumn("completed", F.lit(True)), unit_chunks(units.where("reason is null")), AcceptancePolicy(require_documents=not docs.isEmpty()))
+
+    own = [
+        tree.problems(),
+        emit(units.where("reason is not null"), [finding("source_read_failed", message=F.concat_ws(": ", "reason", "error"), document_id=F.col("source"))]),
+        emit(units.where("image_only"), [finding("likely_image_only_page", message=F.col("unit"), document_id=F.col("source"))]),
     ]
-    unverified = {"historical_index_coverage", "within_unit_text_completeness"}
-    missing = 0
-    if want is None:
-        unverified.add("expected_files_outside_current_folder")
-    elif tree.complete:
-        gone = spark.createDataFrame([(w,) for w in want], "source string").join(tree.paths, "source", "left_anti")
-        missing = gone.count()
-        evidence.append(emit(gone, [finding("missing_expected_source", document_id=F.col("source"))]))
-    else:
-        unverified.add("expected_file_absence")
-    found = tree.paths.count()
-    reasons = {r[0]: r[1] for r in bad.groupBy("reason").count().collect()}
-    failures, unreadable = sum(reasons.values()), reasons.get("reader_unavailable", 0)
-    unverified |= ({"unsupported_file_types"} if tree.unsupported else set()) | ({"complete_source_processing"} if failures else set()) | (set() if tree.complete else {"complete_source_enumeration"})
-    own = cut(union(evidence))
-    if not tree.complete or failures:
-        outcome = "reader_unavailable" if tree.complete and not audited and found and unreadable == found else "incomplete"
-    elif not found and want is None:
-        outcome = "no_supported_files"
-    else:
-        outcome = "passed" if audit.verdict().passed and own.where("severity = 'error'").isEmpty() else "audit_failed"
+    complete = tree.problems().isEmpty()
+    gone = None
+    if want is not None and complete:
+        gone = want.join(broadcast_if_small(tree.files()), "source", "left_anti")
+        own.append(emit(gone, [finding("missing_expected_source", message="An expected file isn't there.", document_id=F.col("source"))]))
+    found = cut(union(own).unionByName(audit.findings))
+
+    kinds = tree.entries.agg(F.count_if(F.col("kind") == "file").alias("found"), F.count_if(F.col("kind") == "other").alias("other"), F.count_if(F.col("kind").isin("linked", "failed")).alias("walk_problems"))
+    reads = units.agg(
+        F.count_if(F.col("reason").isNotNull()).alias("unreadable"), F.count_if(F.col("reason") == "reader_unavailable").alias("reader_unavailable"),
+        F.count_if(F.col("reason").isNull() & F.col("unit").isNotNull()).alias("units"), F.count_if("image_only").alias("images"),
+    )
+    rest = [docs.agg(F.count("*").alias("audited")), found.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("code") == "missing_expected_source").alias("missing"))]
+    facts = reduce(lambda x, y: x.crossJoin(y), [kinds, reads, *rest]).withColumn("listed", F.lit(want is not None))  # one row each
+    f = facts.withColumn("outcome", outcome()).first()
+    claims = {
+        "historical_index_coverage": True, "within_unit_text_completeness": True, "expected_files_outside_current_folder": want is None, "expected_file_absence": want is not None and gone is None,
+        "unsupported_file_types": f.other, "complete_source_processing": f.unreadable, "complete_source_enumeration": f.walk_problems,
+    }
     counts = {
-        "files_discovered": found, "files_audited": audited, "units_enumerated": good.where("unit is not null").count(), "unsupported_files": tree.unsupported,
-        "image_only_units": good.where("image_only").count(), "missing_expected_files": missing, "reader_unavailable_files": unreadable,
+        "files_discovered": f.found, "files_audited": f.audited, "units_enumerated": f.units, "unsupported_files": f.other,
+        "image_only_units": f.images, "missing_expected_files": f.missing, "reader_unavailable_files": f.reader_unavailable,
     }
-    return FolderCheck(outcome, counts, own.unionByName(audit.findings), audit, tuple(sorted(unverified)))
+    return FolderCheck(f.outcome, counts, found, audit, tuple(sorted(k for k, v in claims.items() if v)))
 
 
 def check_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
@@ -285,4 +352,5 @@ def check_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def readers_available() -> dict[str, bool]:
-    return {s: importlib.util.find_spec(m) is not None for s, (m, _) in READERS.items()}
+    """Which of the readers that need a package have it."""
+    return {s: importlib.util.find_spec(m) is not None for s, m in READERS.items()}

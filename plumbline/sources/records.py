@@ -7,10 +7,12 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.canonical import canonical, check_native
+from plumbline.functions.canonical import canonical, check_native, is_hash
+from plumbline.functions.text import LINE, blank
+from plumbline.operators.numbering import number_rows
 
 CHUNK = (
     "chunk_index bigint, text string, chunk_key string, document_id string, source_version string, namespace string, units array<string>,"
@@ -21,6 +23,11 @@ EXPORT = (
 )
 
 
+def comparable_hash(mark: Column) -> Column:
+    """The value of a fingerprint (algorithm, basis, value) that is comparable with a file's digest, else null."""
+    return F.when((mark["algorithm"] == "sha256") & (mark["basis"] == "file_bytes"), mark["value"])
+
+
 def unique_keys(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
     out = dict(pairs)
     if len(out) != len(pairs):
@@ -84,14 +91,16 @@ def chunks_from_records(spark: SparkSession, records: list[Any]) -> DataFrame:
     return spark.createDataFrame([chunk_row(i, r) for i, r in enumerate(records)], CHUNK)
 
 
-def numbered_lines(spark: SparkSession, path: str, first: int = 1) -> DataFrame:
-    """(line, value) of the text files under a path: numbers run over all files in order.
+def numbered_lines(spark: SparkSession, path: str, first: int = 1, breaks: str = r"\r\n?|\n") -> DataFrame:
+    """(line, value) of the text files under a path: numbers run over all files, by path, in order.
 
-    Two narrow passes: lines per partition, then offsets; nothing is shuffled. Lines end with a line
-    feed only, as JSON text can hold other separators.
+    Files are split and read at line feeds; what else ends a line (a regular expression) is looked for
+    inside those pieces. Rows are numbered in as many tasks as they take.
     """
-    df = spark.read.option("lineSep", "\n").text(path)
-    return df.rdd.zipWithIndex().map(lambda x: (x[1] + first, x[0][0])).toDF("line bigint, value string")
+    raw = spark.read.option("lineSep", "\n").text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("m"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    rows = raw.select("f", "s", "m", F.posexplode(F.split("value", breaks)).alias("p", "value"))
+    return number_rows(rows, [], ["f", "s", "m", "p"], "line").select((F.col("line") + first).cast("long").alias("line"), "value")
 
 
 def _mapped(lines: DataFrame, row, schema: str) -> DataFrame:
@@ -104,26 +113,45 @@ def _mapped(lines: DataFrame, row, schema: str) -> DataFrame:
     return lines.mapInPandas(parse, schema)
 
 
-def read_chunks_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks from JSON Lines; blank lines are skipped, a line that isn't JSON is no record."""
+def _chunk_or_none(n: int, v: str) -> tuple:
+    try:
+        return chunk_row(n, json.loads(v))
+    except ValueError:
+        return chunk_row(n, None)
 
-    def row(n: int, v: str) -> tuple:
-        try:
-            return chunk_row(n, json.loads(v))
-        except ValueError:
-            return chunk_row(n, None)
 
-    lines = numbered_lines(spark, path, 0).where(F.length(F.btrim("value", F.lit(" \t\r\n"))) > 0)
-    return _mapped(lines, row, CHUNK)
+def read_chunks_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks from JSON Lines, whose lines end as str.splitlines has it; blank lines are skipped, a line
+    that isn't JSON is no record."""
+    lines = numbered_lines(spark, path, 0, LINE).where(~blank(F.col("value")))
+    return _mapped(lines, _chunk_or_none, CHUNK)
 
 
 def read_chunks_json(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks from a file that holds one JSON array; such a file has no records to split it by."""
-    raw = "".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect())
-    records = json.loads(raw)
-    if not isinstance(records, list):
+    """Chunks from a file that holds one JSON array: one task reads it and makes a row of each element;
+    nothing is collected. Anything but an array raises, as does one beyond a variant's size (128 MB):
+    larger collections are JSON Lines."""
+    start = spark.read.text(path).where(~blank(F.col("value"))).select(F.ltrim("value")).first()
+    if start is None or not start[0].lstrip("\ufeff").startswith("["):
         raise ValueError("the file must hold a JSON array")
-    return chunks_from_records(spark, records)
+    raw = spark.read.option("multiLine", True).option("mode", "FAILFAST").option("singleVariantColumn", "v").json(path)
+    each = raw.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+    return _mapped(each.select(F.col("pos").cast("long").alias("line"), F.to_json("value").alias("value")), _chunk_or_none, CHUNK)
+
+
+def embeddings_from_records(spark: SparkSession, records: list[Any]) -> DataFrame:
+    """(embedding_index, chunk_id, vector, is_record, and the declared embedding_model, pipeline_id,
+    input_hash) of untyped records: an id or label that isn't text is null, so is a vector that isn't a
+    list of numbers."""
+    text = lambda r, k: r[k] if isinstance(r.get(k), str) else None
+    number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool)
+    rows = []
+    for i, r in enumerate(records):
+        fits = isinstance(r, dict)
+        v = r.get("vector") if fits else None
+        v = [float(x) if number(x) else float("nan") for x in v] if isinstance(v, list) and not any(isinstance(x, (list, dict, str)) for x in v) else None
+        rows.append((i, *([text(r, "chunk_id"), v, True, *(text(r, k) for k in ("embedding_model", "pipeline_id", "input_hash"))] if fits else [None, None, False, None, None, None])))
+    return spark.createDataFrame(rows, "embedding_index bigint, chunk_id string, vector array<double>, is_record boolean, embedding_model string, pipeline_id string, input_hash string")
 
 
 def read_workflow(spark: SparkSession, path: str) -> dict[str, Any]:
@@ -186,11 +214,18 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_export(payloads: DataFrame, path: str) -> None:
-    """Payloads (chunk_id, text, metadata) as an index export; the commit protocol makes it whole or absent."""
-    md = F.col("metadata")
+    """Payloads (chunk_id, text, metadata) as an index export; the commit protocol makes it whole or absent.
+
+    Metadata is that of project_metadata. A source_version that is a SHA-256 digest is also declared as
+    a comparable fingerprint of the file's bytes.
+    """
+    md = lambda k: F.try_element_at("metadata", F.lit(k))
+    version = md("source_version")
+    mark = F.when(is_hash(version), F.struct(F.lit("sha256").alias("algorithm"), F.lit("file_bytes").alias("basis"), version.alias("value")))
     payloads.select(
-        F.col("chunk_id").alias("id"), F.element_at(md, "source_id").alias("source_id"), F.col("text"), F.element_at(md, "source_version").alias("source_version")
-    ).write.json(path, ignoreNullFields=True)
+        F.col("chunk_id").alias("id"), md("source_id").alias("source_id"), F.col("text"), version.alias("source_version"),
+        F.from_json(md("units_json"), "array<string>").alias("units"), mark.alias("source_fingerprint"),
+    ).write.json(path, ignoreNullFields=True)
 
 
 def append_events(spark: SparkSession, path: str, events: list[dict[str, Any]]) -> None:

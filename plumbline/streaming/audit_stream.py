@@ -11,7 +11,10 @@ from plumbline.operators.incremental import GenerationStore
 
 
 def audit_stream(chunks: DataFrame, path: str, checkpoint: str, policy: ChunkPolicy | None = None, available_now: bool = True) -> StreamingQuery:
-    """Audit each micro-batch of a chunk stream and commit its findings exactly once.
+    """Audit each micro-batch of a chunk stream, by itself, and commit its findings exactly once.
+
+    Checks that compare chunks (duplicates, boilerplate, distinctiveness) see one batch at a time; what
+    repeats across batches shows in an audit of the whole table.
 
     A batch's findings are written to a folder of their own and published under the batch's number. A
     batch that is replayed after a failure finds its number taken and writes nothing.
@@ -19,7 +22,7 @@ def audit_stream(chunks: DataFrame, path: str, checkpoint: str, policy: ChunkPol
 
     def each(batch: DataFrame, number: int) -> None:
         store = GenerationStore(batch.sparkSession, path)
-        if any(n == number + 1 for n, _ in store.commits()):
+        if store.exists(f"{store.path}/commits/{number + 1:010d}.json"):
             return
         folder = store.new_folder()
         audit_chunks(batch, policy).findings.withColumn("batch", F.lit(number)).write.parquet(folder)

@@ -1,9 +1,12 @@
+import glob
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators.incremental import GenerationStore
+from plumbline.operators.numbering import number_rows
 from plumbline.plans.ledger import Ledger, deletion_summaries
 from plumbline.plans.planning import Guards, plan_update
 from plumbline.plans.snapshot import InvalidBatchError, Snapshot, UnsafePlanError, build_snapshot, chunk_states, load_snapshot, save_snapshot, verify_snapshot
@@ -149,3 +152,56 @@ def test_order_of_rows_changes_nothing(spark, rows):
     random.Random(2).shuffle(items)
     plan = plan_update(old, snapshot(spark, dict(items[:4])))
     assert counts(plan) == (0, 0, 30, 0, 0)
+
+
+def test_ledger_of_the_format_before(spark, rows, tmp_path):
+    path = f"file://{tmp_path}/l"
+    ledger = Ledger(spark, path)
+    ledger.commit(ledger.plan(snapshot(spark, many(3, 4))))
+    number, state = ledger.store.last()
+    old = {k: state[k] for k in ("namespace", "pipeline_id", "embedding_model", "revision", "folder")}
+    ledger.store.publish(number + 1, {**old, "format_version": 1})
+    with pytest.raises(ValueError, match="upgraded"):
+        Ledger(spark, path, read_only=True).revision()
+    ledger = Ledger(spark, path)
+    assert ledger.revision() == state["revision"] and ledger.counts() == {"documents": 3, "chunks": 12}
+    s = ledger.deletion_summary().first()
+    assert (s.history_complete, s.baseline_chunks_at_history_start) == (False, 12)
+    ledger.commit(ledger.plan(snapshot(spark, many(3, 3))))
+    assert [r.removed_chunks for r in ledger.history(1).collect()] == [3]
+    with pytest.raises(UnsafePlanError):
+        Ledger(spark, path, read_only=True).commit(ledger.plan(snapshot(spark, many(3, 2)), Guards(1.0, 1.0)))
+    ledger.store.publish(9, {"format_version": 7})
+    with pytest.raises(ValueError, match="unsupported"):
+        ledger.revision()
+
+
+def test_broken_ledger_tables_are_a_finding(spark, rows, tmp_path):
+    ledger = Ledger(spark, f"file://{tmp_path}/l")
+    ledger.commit(ledger.plan(snapshot(spark, many(2, 2))))
+    folder = ledger.store.last()[1]["folder"].removeprefix("file:")
+    for f in glob.glob(f"{folder}/chunks/*.parquet"):
+        with open(f, "r+b") as file:
+            file.write(b"broken" * 20)
+    for f in glob.glob(f"{folder}/chunks/.*.crc"):
+        os.remove(f)
+    assert rows(ledger.verify(), "code") == [("ledger_integrity",)]
+
+
+def test_numbers_follow_the_order_in_any_partitioning(spark):
+    r = random.Random(3)
+    data = [(r.choice(("hot", "hot", "hot", "cold", None)), i) for i in range(500)]
+    r.shuffle(data)
+    df = spark.createDataFrame(data, "k string, n int").repartition(7)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as many partitions as asked for
+    try:
+        got = number_rows(df, ["k"], ["n"], "at").collect()
+        one = number_rows(df, [], ["n"], "at").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want = {}
+    for k in ("hot", "cold", None):
+        want |= {(k, n): at for at, n in enumerate(sorted(n for x, n in data if x == k))}
+    assert {(x.k, x.n): x["at"] for x in got} == want and len(got) == 500
+    assert all(x["at"] == x.n for x in one)
+    assert number_rows(df.limit(0), ["k"], ["n"], "at").count() == 0

@@ -1,4 +1,5 @@
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline import cli, findings
 from plumbline.operators.export_audit import audit_index
 from plumbline.sources import files, records
+from plumbline.sources.existing import audit_existing_index, source_findings
 from plumbline.streaming.audit_stream import audit_stream, stream_findings
 
 
@@ -22,8 +24,9 @@ def test_folder_passes_and_keys_are_stable(spark, rows, tmp_path):
     r = files.check_folder(spark, root)
     assert r.outcome == "passed" and r.counts["files_audited"] == 3 and r.counts["unsupported_files"] == 1
     assert "unsupported_file_types" in r.unverified
-    units = files.read_units(files.walk(spark, root).paths)
+    units = files.read_units(files.list_tree(spark, root).files())
     chunks = files.unit_chunks(units)
+    assert [(r.document_id, r.text[:4]) for r in chunks.orderBy("chunk_index").collect()] == [("a.txt", "word"), ("a.txt", "word"), ("c.HTML", "show"), ("sub/b.md", "# Ti")]
     assert rows(chunks, "document_id", "chunk_key") == [("a.txt", '["a.txt","file",0]'), ("a.txt", '["a.txt","file",1]'), ("c.HTML", '["c.HTML","file",0]'), ("sub/b.md", '["sub/b.md","file",0]')]
     assert units.where("source = 'c.HTML'").first().text.strip() == "shown"
 
@@ -46,7 +49,7 @@ def test_outcomes(spark, rows, tmp_path):
     for text in ("../x.txt", "a.txt\na.txt", "x.exe", "", "/a.txt"):
         (tmp_path / "bad.txt").write_text(text)
         with pytest.raises(ValueError):
-            files.expected_files(str(tmp_path / "bad.txt"))
+            files.expected_files(spark, str(tmp_path / "bad.txt"))
 
 
 def test_manifest(spark, rows):
@@ -149,10 +152,11 @@ def test_catalogue_is_what_is_emitted():
 
     root = Path(findings.__file__).parent
     said = "".join(p.read_text() for p in root.rglob("*.py") if p.name != "findings.py" and "queries" not in p.parts)
-    quoted = set(re.findall(r'"([a-z]+(?:_[a-z]+)+)"', said))
+    # A code counts where it stands as the first argument of finding() or repeated(), or is chosen there.
+    calls = re.findall(r'(?:finding|_as_units|repeated)\((?:\w+, )?(?:_as_units\()?"([a-z]+(?:_[a-z]+)+)"', said)
+    quoted = set(calls) | set(re.findall(r'"((?:duplicate|conflicting)_index_record)"', said))
     quoted |= {c.replace("pages", "units").replace("page", "unit") for c in quoted if "page" in c}
-    silent = {"invalid_embedding", "ledger_integrity", "source_extraction_failed", "index_export_read_failed"}
-    assert set(findings.SEVERITY) - quoted <= silent
+    assert set(findings.SEVERITY) <= quoted
     assert len(findings.SEVERITY) == 80
     with pytest.raises(KeyError):
         findings.finding("no_such_code")
@@ -163,3 +167,88 @@ def test_converters(spark, rows):
     assert rows(records.from_columns(df, "n"), "chunk_index", "text", "document_id", "chunk_key") == [(3, "t", "d", None)]
     body = spark.createDataFrame([("<p>a</p><style>b</style> c",), (None,)], "h string")
     assert [r[0] for r in body.select(files.html_body(F.col("h"))).collect()] == ["a  c", None]
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<!doctype html><p>a &lt; b &amp; c</p>", "a < b & c"), ("<!-- <p>no</p> -->yes", "yes"), ("<script>if (a<b) '</p>'</script>x", "x"), ("<SCRIPT>1</SCRIPT >x<style>y", "x"),
+        ("a<template>b<template>c</template>d</template>e", "a e"), ('<a title="1 > 0">t</a>', "t"), ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"), ("", ""), ("<br/>a<br>b", "a b"), ("a<!-- open", "a"),
+    ],
+)
+def test_html(page, text):
+    assert files.html_text(page) == text
+
+
+def zipped(path, **parts):
+    with zipfile.ZipFile(path, "w") as z:
+        for name, xml in parts.items():
+            z.writestr(name.replace("__", "/").replace("_dot_", "."), xml)
+
+
+def test_office_files(spark, rows, tmp_path):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    cell = lambda t: f"<w:tc>{p(t)}</w:tc>"
+    table = f"<w:tbl><w:tr>{cell('r1c1')}{cell('r1c2')}</w:tr><w:tr>{cell('r2c1')}{cell('r2c2')}</w:tr></w:tbl>"
+    zipped(tmp_path / "a.docx", word__document_dot_xml=f"<w:document {w}><w:body>{p('before')}{table}<w:p><w:r><w:t>af</w:t><w:tab/><w:t>ter</w:t></w:r></w:p></w:body></w:document>")
+    a, r, q = ('xmlns:%s="http://schemas.openxmlformats.org/%s"' % x for x in (("a", "drawingml/2006/main"), ("r", "officeDocument/2006/relationships"), ("p", "presentationml/2006/main")))
+    t = lambda x: f"<a:p><a:r><a:t>{x}</a:t></a:r></a:p>"
+    slide = lambda body: f"<p:sld {a} {q}><p:cSld><p:spTree>{body}</p:spTree></p:cSld></p:sld>"
+    zipped(
+        tmp_path / "b.pptx",
+        ppt__presentation_dot_xml=f'<p:presentation {q} {r}><p:sldIdLst><p:sldId id="9" r:id="r2"/><p:sldId id="8" r:id="r1"/></p:sldIdLst></p:presentation>',
+        ppt___rels__presentation_dot_xml_dot_rels='<Relationships xmlns="x"><Relationship Id="r1" Target="slides/slide1.xml"/><Relationship Id="r2" Target="/ppt/slides/slide2.xml"/></Relationships>',
+        ppt__slides__slide1_dot_xml=slide(f"<p:grpSp><p:sp><p:txBody>{t('inner')}{t('two')}</p:txBody></p:sp></p:grpSp>"),
+        ppt__slides__slide2_dot_xml=slide(f"<p:graphicFrame><a:tbl><a:tr><a:tc><a:txBody>{t('cell')}</a:txBody></a:tc></a:tr></a:tbl></p:graphicFrame>"),
+    )
+    (tmp_path / "c.docx").write_bytes(b"no archive")
+    units = files.read_units(files.list_tree(spark, str(tmp_path)).files())
+    assert rows(units, "source", "unit", "text", "reason", "error") == [
+        ("a.docx", "body", "before\nr1c1\nr1c2\nr2c1\nr2c2\naf\tter", None, None), ("b.pptx", "slide:1", "cell", None, None), ("b.pptx", "slide:2", "inner\ntwo", None, None), ("c.docx", None, None, "unknown_read_error", "BadZipFile"),
+    ]
+
+
+def test_reasons():
+    class PdfReadError(Exception):
+        pass
+
+    assert [files.read_failure(".pdf", e) for e in (ModuleNotFoundError(), PdfReadError(), PermissionError(), files.SourceChangedError(), ValueError())] == [
+        "reader_unavailable", "invalid_pdf", "permission_denied", "source_changed", "unknown_read_error",
+    ]
+    assert files.read_failure(".docx", PdfReadError()) == "unknown_read_error"
+    assert {r for _, _, r in files.REASONS} == {"reader_unavailable", "invalid_utf8", "empty_file", "encrypted_pdf", "invalid_pdf", "permission_denied", "source_changed", "unknown_read_error"}
+
+
+def test_existing_index_fails_on_unreadable_sources(spark, tmp_path, capsys):
+    root = tree(tmp_path / "src", a_dot_txt="some text", bad_dot_txt=b"\xff")
+    path = export(tmp_path, {"id": "1", "source_id": "a.txt", "text": "x"})
+    a = audit_existing_index(spark, root, path, True, True, True)
+    assert codes(a.findings) == {"source_read_failed": 1} and "source_absence" in a.unverified
+    assert cli.main(["existing-index", root, path, "--export-complete", "--json"]) == 1
+    assert json.loads(capsys.readouterr().out)["passed"] is False
+    (tmp_path / "src" / "bad.txt").unlink()
+    (tmp_path / "src" / "l.txt").symlink_to(tmp_path / "src" / "a.txt")
+    assert codes(audit_existing_index(spark, root, path, True).findings) == {"source_path_excluded": 1}
+    assert codes(audit_existing_index(spark, root, str(tmp_path / "absent"), True).findings) == {"source_path_excluded": 1, "index_export_read_failed": 1}
+    (tmp_path / "raw.jsonl").write_bytes(b'{"id": "1"}\n{"id": "\xff"}\n')
+    assert codes(audit_existing_index(spark, root, str(tmp_path / "raw.jsonl")).findings)["index_export_read_failed"] == 1
+    failed = spark.createDataFrame([("p.pdf", "v", "page:1", 0, None, True, False, None, None)], files.READ)
+    assert rows_of(source_findings(files.Tree(spark.createDataFrame([], files.ENTRIES)), failed)) == [("source_extraction_failed", "p.pdf", "page:1")]
+
+
+def rows_of(df):
+    return [(r.code, r.document_id, r.message) for r in df.collect()]
+
+
+def test_lines_and_arrays(spark, rows, tmp_path):
+    (tmp_path / "b.jsonl").write_text('{"text": "a"}\r\n\x85{"text": "b"}\u2028\n \n{"text": "c"}', encoding="utf-8")
+    got = rows(records.read_chunks_jsonl(spark, str(tmp_path / "b.jsonl")), "chunk_index", "text")
+    assert [t for _, t in got] == ["a", "b", "c"] and sorted(i for i, _ in got) == [i for i, _ in got]
+    (tmp_path / "a.json").write_text('\n [{"text": "x", "metadata": {"pages": [2]}}, 5,\n {"text": null}]')
+    assert rows(records.read_chunks_json(spark, str(tmp_path / "a.json")), "chunk_index", "text", "is_record", "is_text", "units") == [(0, "x", True, True, ["page:2"]), (1, None, False, True, None), (2, None, True, False, None)]
+    (tmp_path / "o.json").write_text('{"a": 1}')
+    with pytest.raises(ValueError):
+        records.read_chunks_json(spark, str(tmp_path / "o.json"))
+    (tmp_path / "e.json").write_text("[]")
+    assert records.read_chunks_json(spark, str(tmp_path / "e.json")).count() == 0

@@ -42,6 +42,8 @@ def test_baseline_file(spark, tmp_path):
     baseline.save(b.withColumn("fingerprint", F.lit("x")), f"{tmp_path}/c")
     with pytest.raises(ValueError):
         baseline.load(spark, f"{tmp_path}/c")
+    b.drop("mode").write.parquet(f"{tmp_path}/first-format")
+    assert baseline.load(spark, f"{tmp_path}/first-format").select("mode").distinct().collect() == [("strict",)]
 
 
 def test_store_contract(spark, rows, tmp_path):
@@ -62,8 +64,10 @@ def test_store_contract(spark, rows, tmp_path):
 
 
 def test_projection_and_events(spark, tmp_path):
-    df = spark.createDataFrame([("n", "d", None)], "namespace string, document_id string, source_version string")
-    assert project_metadata(df, {"tag": "x"}).first().metadata == {"namespace": "n", "document_id": "d", "tag": "x"}
+    df = spark.createDataFrame([("n", "d", None, ["page:2"], "k")], "namespace string, document_id string, source_version string, units array<string>, chunk_key string")
+    assert project_metadata(df, "m", "p", {"review_tag": "x"}).first().metadata == {
+        "namespace": "n", "source_id": "d", "units_json": '["page:2"]', "chunk_key": "k", "embedding_model": "m", "pipeline_id": "p", "review_tag": "x",
+    }
     append_events(spark, f"{tmp_path}/e", [{"a": 1}])
     append_events(spark, f"{tmp_path}/e", [{"b": 2}])
     assert sorted(r[0] for r in spark.read.text(f"{tmp_path}/e").collect()) == ['{"a": 1}', '{"b": 2}']

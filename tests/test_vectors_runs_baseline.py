@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from plumbline.functions import vectors as V
 from plumbline.operators import baseline, cost, reconcile, runs, vectors
 from plumbline.operators.chunks import ChunkPolicy, audit_chunks
-from plumbline.operators.reports import by_document, examples, render, verdict
+from plumbline.operators.reports import by_document, examples, render, review_summary, verdict
+from plumbline.sources.records import embeddings_from_records
 
 E = "embedding_index bigint, chunk_id string, vector array<double>"
 
@@ -67,29 +68,40 @@ def test_payload_verification(spark, rows):
 
 
 def test_reconcile(spark):
-    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
-    r = reconcile.reconcile(ids("a", "a", "b", "c"), ids("b", "d", "d", "d", None), "n", True)
-    assert r.counts == dict(expected_count=3, observed_count=2, missing_count=2, orphan_count=1, duplicate_expected_count=1, duplicate_observed_count=2)
-    assert (r.missing_ids, r.orphan_ids, r.passed) == (("a", "c"), ("d",), False)
-    assert reconcile.reconcile(ids("a"), ids("a"), "n", True).passed and not reconcile.reconcile(ids("a"), ids("a"), "n").passed
+    side = lambda *x: spark.createDataFrame([tuple(i) for i in x], "namespace string, id string")
+    said = spark.createDataFrame([("n", True), ("m", True), ("o", None), ("none", False)], "namespace string, inventory_complete boolean")
+    e = side("na", "na", "nb", "nc", "ma", "oa", "xx")
+    o = side("nb", "nd", "nd", "nd", ("n", None), "ma", "oa")
+    got = {r.namespace: r for r in reconcile.reconcile(e, o, said, max_examples=1).collect()}
+    names = ("expected_count", "observed_count", "missing_count", "orphan_count", "duplicate_expected_count", "duplicate_observed_count")
+    assert [got["n"][k] for k in names] == [3, 2, 2, 1, 1, 2]
+    assert (got["n"].missing_ids, got["n"].orphan_ids, got["n"].passed) == (["a"], ["d"], False)
+    assert got["m"].passed and not got["o"].passed and set(got) == {"n", "m", "o", "none"}
+    assert [got["none"][k] for k in names] == [0] * 6 and got["none"].missing_ids == []
+    assert reconcile.reconcile(e.limit(0), o.limit(0), said.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        reconcile.reconcile(ids(), ids(), " ")
-
-
-def test_run(spark):
-    s = lambda e, p, f: spark.createDataFrame([(n, i) for n, ids in zip(runs.STREAMS, (e, p, f)) for i in ids], "stream string, id string")
-    bad = s("aabc", "bxb", "bc")
-    flags = runs.RunFlags("r", True, False, "complete", "1", "2", True)
-    assert Counter(r.code for r in runs.audit_run(bad, flags).collect()) == {
-        "duplicate_run_id": 2, "unexpected_run_record": 1, "run_processing_failed": 2, "conflicting_run_outcome": 1, "run_processing_missing": 1,
-        "run_enumeration_incomplete": 1, "source_changed_during_run": 1,
+        reconcile.reconcile(e, o, said, max_examples=-1)
+
+
+def test_runs(spark):
+    def streams(**runs_):
+        return spark.createDataFrame([(r, n, i) for r, three in runs_.items() for n, ids in zip(runs.STREAMS, three) for i in ids], "run_id string, stream string, id string")
+
+    about = "run_id string, enumeration_completed boolean, pagination_completed boolean, scope string, start_watermark string, end_watermark string, consistent_snapshot boolean"
+    table = spark.createDataFrame(
+        [("bad", True, False, "complete", "1", "2", True), ("good", True, True, "complete", None, None, True), ("short", True, True, "complete", "1", "1", True), ("part", True, True, "incremental", None, "2", True), ("vague", None, None, None, None, None, None)], about
+    )
+    s = streams(bad=("aabc", "bxb", "bc"), good=("ab", "ab", ""), short=("ab", "a", ""), part=("a", "a", ""), other=("zz", "", "z"))
+    codes = Counter((r.run_id, r.code) for r in runs.audit_runs(table, s).collect())
+    assert codes == {
+        ("bad", "duplicate_run_id"): 2, ("bad", "unexpected_run_record"): 1, ("bad", "run_processing_failed"): 2, ("bad", "conflicting_run_outcome"): 1, ("bad", "run_processing_missing"): 1,
+        ("bad", "run_enumeration_incomplete"): 1, ("bad", "source_changed_during_run"): 1, ("short", "run_processing_missing"): 1, ("vague", "run_enumeration_incomplete"): 1,
     }
-    assert tuple(runs.run_measurements(bad).first()) == (3, 2, 2, 1)
-    good = runs.RunFlags("r", True, True, "complete", consistent_snapshot=True)
-    assert runs.deletion_eligible(s("ab", "ab", ""), good) and not runs.deletion_eligible(s("ab", "a", ""), good)
-    assert runs.RunFlags("r").unverified() == ["source_snapshot_consistency", "whole_corpus_completeness"]
-    with pytest.raises(ValueError):
-        runs.RunFlags("r", scope="some")
+    got = {r.run_id: (r.findings, r.unverified, r.deletion_eligible) for r in runs.run_verdicts(table, s).collect()}
+    both = ["source_snapshot_consistency", "whole_corpus_completeness"]
+    assert got == {"bad": (9, both[1:], False), "good": (0, [], True), "short": (1, [], False), "part": (0, both[1:], False), "vague": (1, both, False)}
+    one = s.where("run_id = 'bad'").drop("run_id")
+    assert runs.run_findings(one).count() == 7 and tuple(runs.run_measurements(one).first()) == (3, 2, 2, 1)
 
 
 def test_baseline(spark):
@@ -121,6 +133,21 @@ def test_cost(spark):
         cost.estimate_cost(ids, n.limit(2), 1, "USD")
     with pytest.raises(ValueError):
         cost.estimate_cost(ids, n, 1, "USD", ids.limit(1))
+    row = cost.priced(cost.token_sums(ids.limit(1), n, ids), "0.02").first()
+    assert (row.cost, row.avoided) == (Decimal("0.0000002"), Decimal("0.0000006"))
+
+
+def test_review_summary(spark, rows):
+    claims = [("a", "reviewed"), ("a", "unreviewed"), ("b", "not_applicable"), ("c", "reviewed"), ("c", "not_applicable"), (None, "unreviewed"), ("d", "odd"), ("d", None)]
+    got = rows(review_summary(spark.createDataFrame(claims, "scenario string, state string")))
+    assert got == [("a", "partial", 1, 1, 0), ("b", "not_applicable", 0, 0, 1), ("c", "reviewed", 1, 0, 1), ("d", "unknown", 0, 0, 0), (None, "unknown", 2, 2, 2)]
+    assert rows(review_summary(spark.createDataFrame([], "scenario string, state string"))) == [(None, "not_applicable", 0, 0, 0)]
+
+
+def test_records_that_are_no_embeddings(spark, rows):
+    e = embeddings_from_records(spark, [17, {"chunk_id": "a", "vector": [1, 2.0]}, {"chunk_id": 3, "vector": [1, True]}, {"chunk_id": "b", "vector": "x"}, {"chunk_id": "b", "vector": [[1]]}])
+    found = rows(vectors.audit_embeddings(spark.createDataFrame([("a",), ("b",)], "chunk_id string"), e, 2), "chunk_index", "code")
+    assert found == [(0, "invalid_embedding"), (2, "nonfinite_embedding"), (2, "unexpected_embedding"), (3, "invalid_vector"), (4, "duplicate_embedding"), (4, "invalid_vector")]
 
 
 def test_reports(spark, rows):
