@@ -10,6 +10,7 @@ import json
 import sys
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
@@ -133,7 +134,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("plumbline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
         return run(args, spark)
-    except (OSError, ValueError, KeyError, PySparkException) as e:
+    except (OSError, ValueError, KeyError, PySparkException, Py4JJavaError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
 

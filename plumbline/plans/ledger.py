@@ -7,6 +7,7 @@ import json
 from datetime import datetime, timezone
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -19,6 +20,8 @@ from plumbline.plans.planning import Guards, UpdatePlan, plan_update
 from plumbline.plans.snapshot import CHUNK_COLUMNS, Snapshot, UnsafePlanError, verify_snapshot
 
 FORMAT = 2
+#: What a table that can't be read raises, when it is planned or when it is run.
+UNREADABLE = (PySparkException, Py4JJavaError)
 # The columns of the history and of its summary.
 HISTORY = (
     "sequence int, committed_at string, base_revision string, revision string, before_chunks bigint, after_chunks bigint, added_chunks bigint,"
@@ -225,12 +228,12 @@ class Ledger:
         one = self.spark.range(1)
         try:
             now = self.current()
-        except PySparkException as e:
+        except UNREADABLE as e:
             return emit(one, [finding("ledger_integrity", message=f"The stored tables can't be read: {type(e).__name__}.")])
         for rows in (now.documents, now.chunks):
             try:  # files that are gone or broken show when all their columns are read
                 rows.agg(F.bit_xor(F.xxhash64(*rows.columns))).collect()
-            except PySparkException as e:
+            except UNREADABLE as e:
                 return emit(one, [finding("ledger_integrity", message=f"The stored tables can't be read: {type(e).__name__}.")])
         text = [s[1].get(k) for k in ("namespace", "pipeline_id", "embedding_model")]
         rev = s[1].get("revision")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def audit_existing_index(
         records = cut(read_export(spark, export))
         if not spark.read.text(export).where(~F.is_valid_utf8("value")).isEmpty():
             broken = "invalid_utf8"
-    except PySparkException as e:
+    except (PySparkException, Py4JJavaError) as e:
         records, broken = spark.createDataFrame([], EXPORT), type(e).__name__
     a = audit_index(records, own, ok, export_complete and broken is None, source_scope_complete and broken is None, unit_metadata_complete)
     found = [a.findings, source_findings(tree, units)]

@@ -167,7 +167,7 @@ def test_ledger_of_the_format_before(spark, rows, tmp_path):
     assert ledger.revision() == state["revision"] and ledger.counts() == {"documents": 3, "chunks": 12}
     s = ledger.deletion_summary().first()
     assert (s.history_complete, s.baseline_chunks_at_history_start) == (False, 12)
-    ledger.commit(ledger.plan(snapshot(spark, many(3, 3))))
+    ledger.commit(ledger.plan(snapshot(spark, many(3, 3)), Guards(1.0, 1.0)))
     assert [r.removed_chunks for r in ledger.history(1).collect()] == [3]
     with pytest.raises(UnsafePlanError):
         Ledger(spark, path, read_only=True).commit(ledger.plan(snapshot(spark, many(3, 2)), Guards(1.0, 1.0)))
