@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -57,18 +58,23 @@ def water_fill(targets: list[Target], total: float | None = None) -> dict[str, f
     return out
 
 
+@cache
+def _encoder(tokenizer: str, pattern: str) -> Callable[[str], list[int]]:
+    """The vocabulary's encoder; made once per worker."""
+    import tiktoken
+
+    with open(tokenizer, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("mix", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def count_tokens(text: Column, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> Column:
     """Tokens of a text under a public byte-level BPE vocabulary in the tiktoken rank format."""
 
     @F.pandas_udf("long")
-    def f(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import tiktoken
-
-        with open(tokenizer, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        encode = tiktoken.Encoding("mix", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        for s in batches:
-            yield pd.Series([None if t is None else len(encode(t)) for t in s], dtype="Int64")
+    def f(texts: pd.Series) -> pd.Series:
+        encode = _encoder(tokenizer, pattern)
+        return pd.Series([None if t is None else len(encode(t)) for t in texts], dtype="Int64")
 
     return f(text)
 
