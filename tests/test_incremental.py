@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from plumbline.operators import incremental
 from plumbline.operators.incremental import EmbeddingIncrement, GenerationStore, StaleRunError
 from plumbline.queries import problems
 
@@ -111,6 +112,22 @@ def test_failure_before_the_commit_leaves_nothing(spark, rows, tmp_path, monkeyp
     assert rows(work.work()) == brute(*data)
 
 
+def test_only_touched_namespaces_are_written_and_generations_stay_few(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "COMPACT", 2)
+    data = make(7)
+    work = EmbeddingIncrement(spark, f"file://{tmp_path}/c")
+    for run, (ns, limit) in enumerate((("a", 2), ("a", 4), ("b", 3), ("b", 6), ("a", 6)), 1):
+        seen = {**(seen if run > 1 else {}), ns: limit}
+        part = [c for c in data[0] if c[1] <= seen.get(c[0], 0)]
+        work.run(*frames(spark, (part, *data[1:])))
+        assert rows(work.work()) == brute(part, *data[1:])
+        number, last = work.store.last()
+        assert number == run and len(last["live"]) <= 2
+        if run == 2:  # nothing was copied yet
+            written = {r[0] for r in spark.read.parquet(f"{last['folder']}/rows").select("namespace").distinct().collect()}
+            assert written == {"a"}
+
+
 def test_second_writer_loses(spark, tmp_path):
     store = GenerationStore(spark, f"file://{tmp_path}/g")
     store.publish(1, {"a": 1})

@@ -3,7 +3,10 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from plumbline.operators.orphans import delivered, orphan_keys, orphans_in_time
+from pyspark.sql import functions as F
+
+from plumbline.operators.orphans import as_of, delivered, orphan_keys, orphans_in_time
+from plumbline.session import broadcast_if_small, small
 
 KEYS = "a string, b string, c int, null_mask string"
 
@@ -74,3 +77,25 @@ def test_empty(spark, rows):
     refs = spark.createDataFrame([("n", "a", T0, 1, "", "", "", "")], REFS)
     assert rows(orphans_in_time(refs, s.select("namespace", "snapshot_no", "value"), delivered(s)), "ref_row", "ref_status") == [(1, "missing")]
     assert rows(orphans_in_time(refs.limit(0), s.select("namespace", "snapshot_no", "value"), delivered(s)), "ref_row") == []
+
+
+@pytest.mark.parametrize("unit", ["day", "week", "year"])
+def test_as_of_against_brute_force(spark, unit):
+    r, start = random.Random(5), datetime(2024, 12, 20)
+    at = lambda: start + timedelta(hours=r.randrange(24 * 40))
+    snaps = [(ns, no, at()) for ns in ("a", "b") for no in range(12)]
+    refs = [(r.choice(("a", "a", "b", "none")), i, at()) for i in range(300)] + [("a", 300, snaps[3][2]), ("b", 301, start - timedelta(days=400))]
+    s = spark.createDataFrame(snaps, "namespace string, snapshot_no int, delivered_at timestamp_ntz")
+    got = as_of(spark.createDataFrame(refs, "namespace string, n int, t timestamp_ntz"), s, "t", unit).collect()
+    want = {}
+    for ns, n, t in refs:
+        line = [(d, no) for x, no, d in snaps if x == ns and d <= t]
+        want[n] = max(line, default=(None, None))
+    assert {x.n: (x["at"], x.snapshot_no) for x in got} == want and len(got) == len(refs)
+
+
+def test_sides_are_broadcast_by_rows_and_bytes(spark):
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    few = spark.range(10).withColumn("s", F.repeat(F.lit("x"), 1000))
+    assert hinted(broadcast_if_small(few)) and hinted(small(few)) and hinted(small(few.limit(0)))
+    assert not hinted(broadcast_if_small(few, rows=9)) and not hinted(broadcast_if_small(few, size=9_000))
