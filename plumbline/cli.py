@@ -14,6 +14,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
+from plumbline.findings import ordered
 from plumbline.operators.chunks import ChunkPolicy, audit_chunks
 from plumbline.operators.ingestion import AcceptancePolicy, audit_ingestion
 from plumbline.operators.reports import by_code, render, verdict
@@ -64,16 +65,20 @@ def _parser() -> argparse.ArgumentParser:
     for c in sub.choices.values():
         c.add_argument("--json", action="store_true")
         c.add_argument("--max-examples", type=int, default=5)
+        c.add_argument("--details", type=int, default=0, metavar="N", help="the first N findings in report order")
     return p
 
 
 def _show(args: argparse.Namespace, title: str, findings, passed: bool, extra: dict[str, Any] | None = None) -> None:
     groups = by_code(findings, args.max_examples)
+    first = [r.asDict() for r in ordered(findings).limit(args.details).collect()] if args.details > 0 else []
     if args.json:
         rows = [r.asDict() for r in groups.orderBy("code", "severity").collect()]  # a row per code
-        print(json.dumps({"passed": passed, "findings": rows, **(extra or {})}, sort_keys=True, default=str))
+        print(json.dumps({"passed": passed, "findings": rows, **({"details": first} if first else {}), **(extra or {})}, sort_keys=True, default=str))
     else:
         print(render(groups, title, passed))
+        for r in first:
+            print(" ".join(str(r[k]) for k in ("code", "document_id", "chunk_index", "message") if r[k] not in (None, "")))
 
 
 def run(args: argparse.Namespace, spark: SparkSession) -> int:

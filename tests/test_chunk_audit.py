@@ -121,3 +121,17 @@ def test_text_functions(spark):
         assert r.c == want
     said = spark.createDataFrame([("see [1] and [2]", [1, 2]), ("see [3]", [1]), ("I cannot answer this", [1]), ("no", [1])], "a string, p array<bigint>")
     assert [r[0] for r in said.select(T.citation_errors(said.a, said.p)).collect()] == [False, True, False, True]
+
+
+def test_hashes_are_those_of_ascii_json(spark):
+    import hashlib
+    import json
+
+    from plumbline.functions import canonical
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    texts = ["plain", 'quote " and \\ slash', "tab\tline\n\r\x00\x1f\x7f", "größe 東京 😀 \u2028\x85", "", " "]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = {r.t: (r.h, r.e) for r in df.select("t", canonical.text_hash(df.t).alias("h"), canonical.embedding_hash(canonical.text_hash(df.t), "m", "p").alias("e")).collect()}
+    assert got.pop(None) is not None
+    assert got == {t: (sha(json.dumps(t)), sha(json.dumps([sha(json.dumps(t)), "m", "p"], separators=(",", ":")))) for t in texts}

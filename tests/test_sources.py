@@ -105,8 +105,10 @@ def test_command_line(spark, tmp_path, capsys):
     assert capsys.readouterr().out.startswith("PASS")
     lines = tmp_path / "bad.jsonl"
     lines.write_text('{"text": "a", "metadata": {}}\n\nnope\n')
-    assert cli.main(["chunks", str(lines), "--json"]) == 1
-    assert {f["code"] for f in json.loads(capsys.readouterr().out)["findings"]} == {"missing_metadata", "invalid_record"}
+    assert cli.main(["chunks", str(lines), "--json", "--details", "9"]) == 1
+    said = json.loads(capsys.readouterr().out)
+    assert {f["code"] for f in said["findings"]} == {"missing_metadata", "invalid_record"}
+    assert [(f["chunk_index"], f["code"]) for f in said["details"]] == [(0, "missing_metadata"), (2, "invalid_record")]
     assert cli.main(["chunks", str(tmp_path / "absent.json")]) != 0
     batch = tmp_path / "batch.json"
     batch.write_text(
