@@ -82,8 +82,8 @@ def p8_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = text_counts(table(spark, d, "documents"), table(spark, d, "common_words"))
-    return rows.where("flags >= 2 and doc_id is not null").select("doc_id").distinct()
+    """The documents that break two limits of natural prose, out of the rows of the whole operator."""
+    return p8_stats(spark, d).where("flags >= 2 and doc_id is not null").select("doc_id").distinct()
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_classes, p4_topk, p6_found, p6_by_item, p6_shares, p6_contained, p6_ascii, p7_mix, p7_report, p8_found, p8_counts, p8_stats)}

@@ -4,6 +4,7 @@ import unicodedata
 import numpy as np
 import pytest
 
+from plumbline.llm.queries import p8_found, p8_stats
 from plumbline.llm.textquality import COUNTS, STATS, divergence, sparse_divergence, text_counts, text_quality
 
 DOC = "doc_id bigint, text string, flags string, structure string"
@@ -105,3 +106,22 @@ def test_rows_without_id_are_kept(spark):
     got = text_quality(df, spark.createDataFrame(COMMON, WORDS))
     assert sorted((r.doc_id for r in got.collect()), key=repr) == [big, big, None]
     assert dict(got.dtypes)["doc_id"] == "bigint"
+
+
+def test_found_rows_come_from_the_whole_method(spark, tmp_path):
+    texts = [*DIRTY, PROSE * 3, TABLE, LIST, "zG7Q+kk/9Px0aB" * 40, "!!!! ???? ****", None]
+    rows = [*enumerate(texts), (None, "a b"), (2**60 + 1, "a b"), (2**60 + 1, "a b")]
+    df = spark.createDataFrame([(i, t, "q", "q") for i, t in rows], DOC)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(COMMON, WORDS).write.parquet(f"{tmp_path}/common_words.parquet")
+    found = p8_found(spark, str(tmp_path))
+    # What the optimizer leaves in: the structure and divergence of every text are computed.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "prose_divergence" in plan and "structure" in plan
+    got = sorted(r.doc_id for r in found.collect())
+    stats = {r.doc_id: r for r in p8_stats(spark, str(tmp_path)).collect()}
+    counts = {r.doc_id: r.flags for r in text_counts(df, spark.createDataFrame(COMMON, WORDS)).collect()}
+    assert got == sorted(i for i, n in counts.items() if n >= 2 and i is not None)
+    assert {i: r.flags for i, r in stats.items()} == counts
+    assert len(DIRTY) not in got and {len(DIRTY) + 3, 2**60 + 1} <= set(got)
+    assert all(stats[i].structure in ("prose", "list", "table", "junk") and 0 <= stats[i].divergence <= 1 for i in got)
